@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idloom.llm import exact_dedup, lang_id, near_dup, packing, toxicity
+from idloom.llm import exact_dedup, lang_id, lm_score, near_dup, packing, sentence_pieces, token_counts, toxicity, warc
+
+#: Published vocabulary of the tokenizing queries; the operators take any model.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), sentence_pieces.load(VOCABULARY))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_frames(_read(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group_table(_read(spark, sf_dir, "documents"))
 
@@ -33,13 +48,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_read(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(_read(spark, sf_dir, "documents"), sentence_pieces.load(VOCABULARY))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op5_minhash_near_dedup, op6_toxicity, op8_exact_dedup, op9_best_fit_packing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc_writer, op4_lm_scoring, op5_minhash_near_dedup, op6_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_sentencepiece, pipeline)}
 
 SQL = {
     "op8_exact_dedup": """
