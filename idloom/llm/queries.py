@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idloom.llm import exact_dedup, lang_id, lm_score, near_dup, packing, sentence_pieces, token_counts, toxicity, warc
+from idloom.llm import exact_dedup, lang_id, lm_score, mpeg_audio, near_dup, packing, sentence_pieces, token_counts, toxicity, warc
 
 #: Published vocabulary of the tokenizing queries; the operators take any model.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,6 +40,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no audio: each page's bytes travel as the payload of a stream made for it, with tags and damage."""
+    return mpeg_audio.parse_audio(mpeg_audio.page_media(_read(spark, sf_dir, "pages")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_table(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc_writer, op4_lm_scoring, op5_minhash_near_dedup, op6_toxicity, op8_exact_dedup, op9_best_fit_packing, op10_sentencepiece, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_warc_writer, op4_lm_scoring, op5_minhash_near_dedup, op6_toxicity, op7_mpeg_audio, op8_exact_dedup, op9_best_fit_packing, op10_sentencepiece, pipeline)}
 
 SQL = {
     "op8_exact_dedup": """
