@@ -47,3 +47,11 @@ def broadcast_within(df: DataFrame, rows: int, bytes_per_row: int, most: int = 6
 def below(share: float, *columns: Column | str) -> Column:
     """True for that share of the rows, chosen by the hash of the columns: the same rows on every run."""
     return F.pmod(F.xxhash64(*columns, F.lit(7919)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in whatever case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

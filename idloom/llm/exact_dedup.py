@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idloom.llm._scratch import Scratch, broadcast_within
+from idloom.llm._scratch import Scratch, broadcast_within, unused
 from idloom.llm._text import mix
 
 MEMTABLE, FILTER_BITS, PROBES = 16384, 1 << 18, 4
@@ -115,8 +115,8 @@ class DigestIndex:
         return self.scratch.table(level.where("n > 1"), "level1")
 
 
-def _hits(docs: DataFrame, id_col: str, text_col: str, digest, scratch: Scratch, entries: int, bits: int) -> tuple[DataFrame, DataFrame, Column]:
-    """(hits: digest and smallest id, the rows that can't have a copy, condition that names the digest of a row)."""
+def _hits(docs: DataFrame, id_col: str, text_col: str, digest, scratch: Scratch, entries: int, bits: int) -> DataFrame:
+    """The digests of more than one row, with the smallest id and the number of rows."""
     index = DigestIndex(scratch, entries, bits)
     keyed = docs.where(F.col(text_col).isNotNull()).select(digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("bigint").alias("id"))
     hits = index.compact(index.flush(keyed))
@@ -132,12 +132,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are compared by their bytes.  Only rows whose digest is a hit are shuffled; the others pass through.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    hits = _hits(docs, id_col, text_col, digest, scratch, entries, bits).select(F.col("digest").alias("__hit"))
-    same = digest(F.col(text_col)) == F.col("__hit")
+    hit, key, row = (unused(n, docs) for n in ("__hit", "__digest", "__row"))
+    hits = _hits(docs, id_col, text_col, digest, scratch, entries, bits).select(F.col("digest").alias(hit))
+    same = digest(F.col(text_col)) == F.col(hit)
     small = broadcast_within(hits, hits.count(), 64)
     alone = docs.join(small, same, "left_anti")
-    first = Window.partitionBy("__digest", text_col).orderBy(F.col(id_col).asc_nulls_last())
-    copies = docs.join(small, same, "left_semi").withColumn("__digest", digest(F.col(text_col))).withColumn("__row", F.row_number().over(first)).where("__row = 1")
+    first = Window.partitionBy(key, text_col).orderBy(F.col(id_col).asc_nulls_last())
+    copies = docs.join(small, same, "left_semi").withColumn(key, digest(F.col(text_col))).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
     return alone.unionByName(copies.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

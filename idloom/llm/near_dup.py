@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idloom.llm._scratch import Scratch, broadcast_within
+from idloom.llm._scratch import Scratch, broadcast_within, unused
 from idloom.llm._text import mix, word_hashes
 
 HASHES, BANDS, SHINGLE, SIMILAR = 128, 32, 3, 0.5
@@ -195,10 +195,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows to keep: of each group of near copies the document of the smallest id.  All columns stay as they are."""
-    spark = docs.sparkSession
-    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> root").select(F.col("id").alias("__gone"))
-    gone = Scratch(spark, "neardup-gone").table(gone, "gone")
-    return docs.join(broadcast_within(gone, gone.count(), 40), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    name = unused("__gone", docs)
+    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> root").select(F.col("id").alias(name))
+    gone = Scratch(docs.sparkSession, "neardup-gone").table(gone, "gone")
+    return docs.join(broadcast_within(gone, gone.count(), 40), F.col(id_col).cast("bigint") == F.col(name), "left_anti")
 
 
 def group_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
