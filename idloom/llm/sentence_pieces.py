@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from idloom.llm.piece_model import BYTE, CONTROL, NORMAL, SPACE, USER, CharacterMap, PieceModel, normalise
 
-CACHED = 400_000
+CACHED = 600_000
+_kept: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
@@ -62,16 +64,17 @@ class PieceEncoder:
         """Join the neighbours that make the best piece, the first of equals, until none make one."""
         rank = self.rank
         if len(symbols) < 48:
-            none = float("inf")
-            ranks = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+            none, get = float("inf"), rank.get
+            ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
             while ranks and (best := min(ranks)) != none:
                 k = ranks.index(best)
-                symbols[k] += symbols[k + 1]
+                joined = symbols[k] + symbols[k + 1]
+                symbols[k] = joined
                 del symbols[k + 1], ranks[k]
                 if k:
-                    ranks[k - 1] = rank.get(symbols[k - 1] + symbols[k], none)
+                    ranks[k - 1] = get(symbols[k - 1] + joined, none)
                 if k < len(ranks):
-                    ranks[k] = rank.get(symbols[k] + symbols[k + 1], none)
+                    ranks[k] = get(joined + symbols[k + 1], none)
             return symbols
         n = len(symbols)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
@@ -98,12 +101,15 @@ class PieceEncoder:
 
     def encode_unit(self, unit: str) -> tuple[list[int], list[int]]:
         """Ids, and the bytes of the normalised text that each id covers.  Bytes of unknown characters have an id each."""
+        pieces, ids = self.merge(self._symbols(unit.replace(" ", SPACE))), self.ids
+        if unit.isascii() and all(map(ids.__contains__, pieces)):
+            return [ids[p] for p in pieces], [len(p) for p in pieces]
         out, wide, at = [], [], 0
-        for piece in self.merge(self._symbols(unit.replace(" ", SPACE))):
+        for piece in pieces:
             part = unit[at : at + len(piece)].encode()
             at += len(piece)
-            if piece in self.ids:
-                out.append(self.ids[piece])
+            if piece in ids:
+                out.append(ids[piece])
                 wide.append(len(part))
             elif self.bytes:
                 marked = piece.encode()
@@ -153,6 +159,14 @@ class PieceEncoder:
         return data.decode("utf-8", "replace")
 
 
+def kept_encoder(key: str, *how) -> PieceEncoder:
+    """One encoder per Python worker and call: a worker that runs several tasks goes on with the units that it knows."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = PieceEncoder(*how)
+    return _kept[key]
+
+
 def load(path: str) -> PieceModel:
     with open(path, "rb") as f:
         return PieceModel.parse(f.read())
@@ -169,10 +183,11 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     decoding gives the source again; it need not where normalisation changes the text.  Null texts have null arrays, empty
     ones empty arrays.  Rows keep null and repeated ids; other columns are left out.
     """
+    key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model, CharacterMap(model.charsmap if charsmap is None else charsmap), squeeze))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(*shared.value)
+        encoder = kept_encoder(key, *shared.value)
         for batch in batches:
             texts, size, start = batch.column(1).to_pylist(), 0, 0
             for k in range(len(texts) + 1):
