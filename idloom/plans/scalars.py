@@ -84,7 +84,7 @@ SCALARS: dict[str, Scalar] = {
     "fn_same_class": (f"{PAN} as a, case id % 3 when 0 then {MISREAD} when 1 then substr({MISREAD}, 1, 9) else translate({PAN}, 'A', 'B') end as b", lambda a, b: T.same_class(a, b), f"length(a) > 0 and length(a) = length(b) and translate(a, {L2D_BAR}) = translate(b, {L2D_BAR})"),
     "fn_temperature": ("case when id % 5 = 0 then 0.0 when id % 5 = 1 then 1.0 else (id % 97 + 1) / 100.0 end as a", lambda a: F.round(T.temperature(a.cast("double")), 6), "round(case when a <= 0 then 0 when a >= 1 then 1 else 1 / (1 + exp(-ln(cast(a as double) / (1 - cast(a as double))) / 1.5)) end, 6)"),
     "fn_clamp": ("cast(id % 7 - 3 as double) as a", lambda a: T.clamp(a), "greatest(0.0, least(1.0, a))"),
-    "fn_sha256_chain": ("lpad(cast(id as string), 64, '0') as a, '["k",' || cast(id as string) || ']' as b", lambda a, b: event_hash(a, b), "sha256(a || '||' || b)"),
+    "fn_sha256_chain": ("lpad(cast(id as string), 64, '0') as a, 'k:' || cast(id as string) as b", lambda a, b: event_hash(a, b), "sha256(a || '||' || b)"),
     "fn_parse_date_multi": (
         "case id % 5 when 0 then '15/08/' when 1 then '01-12-' when 2 then '7.2.' when 3 then '15 Aug ' else 'March 5, ' end || cast(1950 + id % 70 as string) as a",
         lambda a: F.date_format(T.parse_date(a), "yyyy-MM-dd"),
