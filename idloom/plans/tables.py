@@ -613,7 +613,7 @@ def fn_soundex(spark, sf_dir):
 
 @query(
     f"""WITH k AS (SELECT c_custkey AS id FROM customer), v AS (SELECT id, {ADDRESS} AS a FROM k), s AS (SELECT id, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS s FROM v)
-    SELECT id, CASE id % 5 WHEN 0 THEN 'Karnataka' WHEN 2 THEN 'West Bengal' WHEN 3 THEN 'Goa' ELSE 'Tamil Nadu' END AS state, CASE id % 5 WHEN 0 THEN '560001' WHEN 1 THEN '411001' WHEN 4 THEN '600001' END AS pincode,
+    SELECT id, CASE id % 5 WHEN 0 THEN 'Karnataka' WHEN 2 THEN 'West Bengal' WHEN 3 THEN 'Goa' WHEN 4 THEN 'Tamil Nadu' END AS state, CASE id % 5 WHEN 0 THEN '560001' WHEN 1 THEN '411001' WHEN 4 THEN '600001' END AS pincode,
     CASE id % 5 WHEN 0 THEN 'Karnataka 560001' WHEN 1 THEN 'MH' WHEN 2 THEN '012345' WHEN 3 THEN 'Goa' ELSE 'tn 600001' END AS city,
     replace(replace(replace(lower(s), ' rd,', ' road'), 'nr. ', 'near '), 'opp ', 'opposite ') AS normalized FROM s"""
 )
