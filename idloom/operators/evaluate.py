@@ -129,3 +129,10 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     rows = metrics.select(F.row_number().over(Window.orderBy(rank, "name")).alias("at"), "name", "kind", "value")
     lines = F.array(F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"), F.concat("name", F.lit(" "), F.col("value").cast("string")))
     return rows.select("at", F.posexplode(lines).alias("k", "line")).select((F.col("at") * 2 + F.col("k") - 2).alias("position"), "line")
+
+
+def summary(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """(grouping, key, n, rank): counts by each key in one pass, each grouping by falling count, then key."""
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("grouping"), c.alias("key")) for k, c in keys.items()])).alias("e")
+    counts = rows.select(entries).groupBy("e.grouping", "e.key").agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("grouping").orderBy(F.desc("n"), "key")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idloom.functions import similarity as S
 from idloom.functions import text as T
 
 NON_TEXT = ("photo", "signature", "emblem", "goi_symbol", "logo")
@@ -210,3 +211,33 @@ def vlm_fields(reply: Column) -> Column:
 
 def chosen_rank(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def flat(fields: Column) -> Column:
+    """Map of field structs to map of their values."""
+    return F.transform_values(fields, lambda _, v: v["value"])
+
+
+def extraction_or_empty(docs: DataFrame, fields: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Each document's map of (field, text), empty where nothing was read; of a field named twice the largest text stays."""
+    one = fields.groupBy(by, "field").agg(F.max("text").alias("text"))
+    made = one.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("extraction"))
+    return docs.join(made, by, "left").withColumn("extraction", F.coalesce("extraction", F.create_map().cast("map<string,string>")))
+
+
+def result_record(doc_id: Column, is_valid: Column, score: Column) -> Column:
+    """struct<doc_id, status, score>."""
+    return F.struct(doc_id.alias("doc_id"), F.when(is_valid, "SUCCESS").otherwise("PARTIAL_SUCCESS").alias("status"), score.alias("score"))
+
+
+def rescue(fields: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(doc_id, field, value, conf, source): a model's suggestion replaces the value where its field's check accepts it.
+
+    Empty or equal suggestions, and fields that nobody read or that have no check, change nothing.  An accepted value has
+    source llm_rescue and confidence 0.8.  Normalising and validating again is the caller's next step; scores stay.
+    """
+    old, new, field = T.stripped(F.col("value")), T.stripped(F.col("suggested")), F.col("field")
+    fits = F.when(field == "pan_number", S.accept_pan(old, new)).when(field == "aadhaar_number", S.accept_aadhaar(old, new)).when(field == "date_of_birth", S.accept_dob(old, new)).when(field.isin("name", "father_name"), S.accept_name(old, new))
+    joined = fields.join(suggestions, ["doc_id", "field"], "left").withColumn("accepted", F.coalesce((new != "") & (new != old) & fits, F.lit(False)))
+    take = F.col("accepted")
+    return joined.select("doc_id", "field", F.when(take, new).otherwise(F.col("value")).alias("value"), F.when(take, 0.8).otherwise(F.col("conf")).alias("conf"), F.when(take, "llm_rescue").alias("source"))

@@ -83,3 +83,9 @@ def training_rows(reviews: DataFrame, images: DataFrame) -> DataFrame:
 def correction_rows(reviews: DataFrame) -> DataFrame:
     """One row per corrected field; the original value is unknown here and empty."""
     return reviews.select("job_id", "reviewer", F.explode("correction").alias("field_name", "corrected_value")).withColumn("original_value", F.lit(""))
+
+
+def first_by_name(reviews: DataFrame, pictures: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Reviews with the first picture of their file's name; of several roots the first in order wins."""
+    w = Window.partitionBy(name).orderBy(*order)
+    return reviews.join(pictures.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place"), name)
