@@ -56,7 +56,7 @@ def read_eval_set(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str, item: str) -> DataFrame:
     """Items of a file that holds {"results": [...]} or a bare list."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     wrapped = F.from_json("value", f"struct<results:array<{item}>>")["results"]
     bare = F.from_json("value", f"array<{item}>")
     return raw.select(F.explode(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)).alias("r")).select("r.*")
@@ -64,7 +64,7 @@ def read_results(spark: SparkSession, path: str, item: str) -> DataFrame:
 
 def read_policies(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, text) of Markdown files."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), F.col("value").alias("text"))
 
 

@@ -76,9 +76,14 @@ def streaming_ledger(events: DataFrame) -> DataFrame:
     return events.groupBy("case_id").applyInPandasWithState(step, CHAIN, "n bigint, head string", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str):
-    """Append each batch of a stream as Parquet, once, and return the running query."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def append_sink(stream: DataFrame, path: str, checkpoint: str, until_empty: bool = True):
+    """Append each batch of a stream as Parquet, once, and return the running query.
+
+    With until_empty it ends when the source has no more.  `case_progress` has timeouts by the clock, for which batches go on
+    without data: it needs until_empty=False, and runs until it is stopped.
+    """
+    out = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (out.trigger(availableNow=True) if until_empty else out.trigger(processingTime="1 second")).start()
 
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -1,5 +1,6 @@
 """What SQL doesn't cover: similarities against plain versions, generators, pictures, files and streams."""
 
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -104,7 +105,11 @@ def test_streams_of_cases(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     spark.createDataFrame([("a", "j1", 2), ("a", "j1", 2), ("a", "j2", 2), ("b", "j3", 2)], "case_id string, job_id string, expected long").coalesce(1).write.json(src)
     stream = spark.readStream.schema("case_id string, job_id string, expected long").json(src)
-    cases.append_sink(cases.case_progress(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/chk").awaitTermination()
+    running = cases.append_sink(cases.case_progress(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/chk", until_empty=False)
+    until = time.time() + 90
+    while not any(p["numInputRows"] for p in running.recentProgress) and time.time() < until:
+        time.sleep(0.5)
+    running.stop()
     got = {(r.case_id, r.event, r.done) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {("a", "started", 0), ("a", "document_complete", 1), ("a", "document_complete", 2), ("a", "case_complete", 2), ("b", "started", 0), ("b", "document_complete", 1)}
 
