@@ -669,15 +669,6 @@ def ret_bm25(spark, sf_dir):
 
 QUERIES["topk_bm25"], SQL["topk_bm25"] = QUERIES["ret_bm25"], SQL["ret_bm25"]
 
-_DENSE = "SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 10 = 0) a, embeddings b"
-
-
-def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Every tenth vector asks: the queries of this search, all of whose rows are kept."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieve.dense_search(vectors, vectors.where("id % 10 = 0").withColumnRenamed("id", "query_id"), k)
-
-
 @query("WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM embeddings a, embeddings b) SELECT query_id, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM d) WHERE r <= 5")
 def ret_dense(spark, sf_dir):
     """The five nearest of every vector among all."""
@@ -716,11 +707,11 @@ QUERIES["topk_rerank"], SQL["topk_rerank"] = QUERIES["ret_rerank"], SQL["ret_rer
 
 @query()
 def ret_hybrid(spark, sf_dir):
-    """Dense and sparse hits of every tenth document's own vector and text, fused."""
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    dense = _dense(spark, sf_dir, 10)
-    asked = dense.select("query_id").distinct().join(texts.withColumnRenamed("id", "query_id"), "query_id")
-    sparse = retrieve.top_hits(retrieve.bm25(texts, asked), 10, positive=True)
+    """Dense and sparse hits of every question, fused; a question's vector is the one of its number."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = fixture(spark, sf_dir, "questions")
+    dense = retrieve.dense_search(vectors, vectors.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id"), 10)
+    sparse = retrieve.top_hits(retrieve.bm25(fixture(spark, sf_dir, "documents_text"), asked), 10, positive=True)
     return retrieve.rank_fusion(dense, sparse, 10).withColumn("rrf_score", F.round("rrf_score", 8))
 
 
