@@ -12,39 +12,92 @@ from pyspark.sql import functions as F
 
 from idloom.llm._text import segment_sum, word_hashes
 
+#: The least sizes of a model: WORD_BITS, CLASS_ROWS and WORD_ROWS grow with the vocabulary, and so does the tree below the last class.
 WORD_BITS, CLASSES, SLOTS, CLASS_ROWS, WORD_ROWS = 16, 32, 32, 1 << 13, 1 << 15
-EPOCHS, RATE, BATCH, ROWS_PER_BLOCK = 1, 0.6, 16384, 64
+EPOCHS, ROUNDS, RATE, BATCH, ROWS_PER_BLOCK = 1, 3, 0.6, 16384, 64
+OWN, DIGIT, WORDS_PER_ROW = (CLASSES - 1) * SLOTS, SLOTS.bit_length() - 1, 16
+
+
+@dataclass
+class Tree:
+    """Leaves of the words below each symbol of the last class: a digit of `leaf` (SLOTS ways) at each of a symbol's `depth` nodes.
+
+    A node's row of `log_prior` has the shares of the counts below its branches; `first` is a symbol's first node of each level.
+    """
+
+    leaf: np.ndarray
+    depth: np.ndarray
+    first: np.ndarray
+    log_prior: np.ndarray
 
 
 @dataclass
 class MaxentModel:
-    """p(word) = p(class | features) p(symbol | class, features) p(word | symbol).
+    """p(word) = p(class | features) p(symbol | class, features) p(word | symbol, features).
 
-    Words are hashed to 2^WORD_BITS buckets.  The most frequent buckets are symbols of their own, the others share the last
-    class's symbols, within which their share of the counts decides.  A row of `by_class` has a weight per class, one of
-    `by_word` a weight per slot; a feature's row in `by_word` depends on the class too.
+    Words are hashed to buckets, at least two for each distinct word.  The most frequent buckets are symbols of their own; every
+    other one seen in training has a leaf of its own in the tree below a symbol of the last class, reached by further choices
+    that start from the shares of the counts.  Without a tree these shares alone decide.  A row of `by_class` has a weight per
+    class, one of `by_word` a weight per slot or branch; a feature's row in `by_word` depends on the class or node too.
     """
 
     symbol: np.ndarray
     log_within: np.ndarray
     by_class: np.ndarray
     by_word: np.ndarray
+    tree: Tree | None = None
+
 
+def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Tree]:
+    """(symbol, log p(bucket | symbol), tree) of each bucket, from the counts over the whole corpus, one added to each.
 
-def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, log p(bucket | symbol)) of each bucket, from the counts over the whole corpus, one added to each."""
+    Below the last class the more frequent words have shorter paths.  Leaf 0 of each symbol is that of the buckets not seen.
+    """
     order = np.argsort(-counts, kind="stable")
-    own = (CLASSES - 1) * SLOTS
-    symbol = np.empty(len(counts), np.int32)
-    symbol[order[:own]] = np.arange(min(own, len(order)))
-    rest = order[own:]
-    symbol[rest] = own + rest % SLOTS
+    symbol = np.empty(len(counts), np.int16)
+    symbol[order[:OWN]] = np.arange(min(OWN, len(order)))
+    rest = order[OWN:]
+    seen = int((counts[rest] > 0).sum())
+    most = np.repeat([SLOTS - 1, SLOTS**2 - 1, SLOTS**3 - 1, 0], SLOTS // 4)
+    most[most == 0] = -(-max(0, seen - int(most.sum())) // int((most == 0).sum()))
+    ends = np.minimum(np.cumsum(most), seen)
+    slot = np.concatenate([np.searchsorted(ends, np.arange(seen), side="right"), np.arange(len(rest) - seen) % SLOTS])
+    symbol[rest] = OWN + slot
     smooth = counts + 1.0
-    return symbol, np.log(smooth / np.bincount(symbol, smooth, CLASSES * SLOTS)[symbol]).astype(np.float32)
+    leaf = np.zeros(len(counts), np.int32)
+    starts = np.concatenate([[0], ends[:-1]])
+    leaf[rest[:seen]] = np.arange(seen) - starts[slot[:seen]] + 1
+    unseen = np.bincount(slot[seen:], smooth[rest[seen:]], SLOTS)
+    depth, levels = np.zeros(SLOTS, np.int32), []
+    for k in range(SLOTS):
+        mass, above = np.concatenate([unseen[k : k + 1], smooth[rest[starts[k] : ends[k]]]]), []
+        while len(mass) > 1:
+            mass = np.pad(mass, (0, -len(mass) % SLOTS)).reshape(-1, SLOTS)
+            total = mass.sum(axis=1)
+            with np.errstate(divide="ignore"):
+                above.append(np.log(mass / total[:, None]).astype(np.float32))
+            mass = total
+        depth[k] = len(above)
+        levels.append(above[::-1])
+    first, at = np.zeros((SLOTS, max(1, depth.max())), np.int64), 0
+    for k, level in enumerate(levels):
+        for d, rows in enumerate(level):
+            first[k, d], at = at, at + len(rows)
+    prior = np.concatenate([np.zeros((0, SLOTS), np.float32), *(rows for level in levels for rows in level)])
+    log_within = np.log(smooth / np.bincount(symbol, smooth, CLASSES * SLOTS)[symbol]).astype(np.float32)
+    return symbol, log_within, Tree(leaf, depth, first, prior)
 
 
 def new_model(counts: np.ndarray) -> MaxentModel:
-    return MaxentModel(*vocabulary(counts), np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32))
+    """A model of weights 0; its rows grow with the distinct words."""
+    rows = 1 << max(WORD_ROWS.bit_length() - 1, (-(-int((counts > 0).sum()) // WORDS_PER_ROW) - 1).bit_length())
+    symbol, log_within, tree = vocabulary(counts)
+    return MaxentModel(symbol, log_within, np.zeros((rows * CLASS_ROWS // WORD_ROWS, CLASSES), np.float32), np.zeros((rows, SLOTS), np.float32), tree)
+
+
+def contexts(symbols: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """What features are made of: a frequent word's symbol, any other word's bucket."""
+    return np.where(symbols < OWN, symbols, (1 << 12) + buckets)
 
 
 def features(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -58,20 +111,46 @@ def features(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x[place < k] = 0
         back.append(x)
     a, b = back
-    raw = [np.zeros(n, np.uint64), a + np.uint64(1 << 12), (a << np.uint64(12) | b) + np.uint64(2 << 40), b + np.uint64(3 << 40)]
+    raw = [np.zeros(n, np.uint64), a + np.uint64(1 << 12), (a << np.uint64(12) | b & np.uint64(4095)) + (b >> np.uint64(12)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2 << 40), b + np.uint64(3 << 40)]
     return np.stack([(x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) for x in raw])
 
 
-def _rows(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    f = (keys % np.uint64(CLASS_ROWS)).astype(np.uint16)
-    g = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) + classes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)) % np.uint64(WORD_ROWS)
-    return f, g.astype(np.uint16)
+def _class_rows(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
+
+
+def _word_rows(keys: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
+    g = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) + nodes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)) % np.uint64(n)
+    return g.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+
 
+def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(place, node, branch taken, log priors of the branches or None) of every choice below the classes.
 
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    The first len(symbols) are the slots, whose nodes are the classes and which have no prior; those in the tree follow.
+    """
+    place, node, taken = [np.arange(len(symbols))], [symbols.astype(np.int64) // SLOTS], [symbols.astype(np.int64) % SLOTS]
+    if tree is not None and buckets is not None:
+        rare = np.flatnonzero(symbols >= OWN)
+        slot, leaf = taken[0][rare], tree.leaf[buckets[rare]].astype(np.int64)
+        for k in range(int(tree.depth.max())):
+            deep = tree.depth[slot] > k
+            rare, slot, leaf = rare[deep], slot[deep], leaf[deep]
+            below = DIGIT * (tree.depth[slot] - k - 1)
+            place.append(rare)
+            node.append(CLASSES + tree.first[slot, k] + (leaf >> below + DIGIT))
+            taken.append(leaf >> below & SLOTS - 1)
+    place, node, taken = np.concatenate(place), np.concatenate(node), np.concatenate(taken)
+    tail = node[len(symbols) :] - CLASSES
+    return place, node, taken, tree.log_prior[tail] if len(tail) else None
+
+
+def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     score = table[rows[0]]
     for r in rows[1:]:
         score += table[r]
+    if prior is not None:
+        score[-len(prior) :] += prior
     score -= score.max(axis=1, keepdims=True)
     np.exp(score, out=score)
     score /= score.sum(axis=1, keepdims=True)
@@ -94,7 +173,11 @@ def _step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.
 
 def _sum_by_row(r: np.ndarray, p: np.ndarray, short: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, positions of each, sums of their p).  Short groups are added place by place, far faster than reduceat."""
-    order = np.argsort(r, kind="stable")
+    if r.dtype == np.uint16:
+        order = np.argsort(r, kind="stable")
+    else:  # two radix sorts are faster than one sort by comparison
+        order = np.argsort(r.astype(np.uint16), kind="stable")
+        order = order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
     sorted_rows = r[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     n = np.diff(np.append(first, len(r)))
@@ -113,7 +196,7 @@ def _sum_by_row(r: np.ndarray, p: np.ndarray, short: int = 8) -> tuple[np.ndarra
 def symbol_batches(texts: pa.Array, model: MaxentModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, buckets, symbols, offsets) by block of rows."""
     for i, j, words, offsets in word_hashes(texts):
-        bucket = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        bucket = (words >> np.uint64(65 - len(model.symbol).bit_length())).astype(np.int64)
         yield i, j, bucket, model.symbol[bucket], offsets
 
 
@@ -126,14 +209,15 @@ class Trainer:
         self.squares = [np.zeros(len(t), np.float32) for t in self.tables]
         self.touched = [np.zeros(len(t), np.float32) for t in self.tables]
 
-    def learn(self, symbols: np.ndarray, offsets: np.ndarray) -> None:
-        keys = features(symbols, offsets)
-        classes, slots = symbols // SLOTS, symbols % SLOTS
+    def learn(self, symbols: np.ndarray, offsets: np.ndarray, buckets: np.ndarray | None = None) -> None:
+        keys = features(symbols if buckets is None else contexts(symbols, buckets), offsets)
         for at in range(0, len(symbols), BATCH):
             s = slice(at, at + BATCH)
-            f, g = _rows(keys[:, s], classes[s])
-            _step(self.tables[0], self.squares[0], self.touched[0], f, _softmax(self.tables[0], f), classes[s], self.rate)
-            _step(self.tables[1], self.squares[1], self.touched[1], g, _softmax(self.tables[1], g), slots[s], self.rate)
+            k, f = keys[:, s], _class_rows(keys[:, s], len(self.tables[0]))
+            place, node, taken, prior = _choices(self.start.tree, symbols[s], None if buckets is None else buckets[s])
+            g = _word_rows(k[:, place], node, len(self.tables[1]))
+            _step(self.tables[0], self.squares[0], self.touched[0], f, _softmax(self.tables[0], f), symbols[s] // SLOTS, self.rate)
+            _step(self.tables[1], self.squares[1], self.touched[1], g, _softmax(self.tables[1], g, prior), taken, self.rate)
 
     def updates(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, counts, changes times counts) for the blocks of rows that the task touched."""
@@ -142,51 +226,77 @@ class Trainer:
                 n = self.touched[k][b : b + ROWS_PER_BLOCK]
                 if n.any():
                     change = (table[b : b + ROWS_PER_BLOCK] - begun[b : b + ROWS_PER_BLOCK]) * n[:, None]
-                    yield (k * (CLASS_ROWS // ROWS_PER_BLOCK) + b // ROWS_PER_BLOCK, n.tobytes(), change.tobytes())
+                    yield (k * (len(self.tables[0]) // ROWS_PER_BLOCK) + b // ROWS_PER_BLOCK, n.tobytes(), change.tobytes())
 
 
 def score(symbols: np.ndarray, buckets: np.ndarray, offsets: np.ndarray, model: MaxentModel) -> np.ndarray:
     """Natural log-probability of each word."""
-    keys, out = features(symbols, offsets), model.log_within[buckets].astype(np.float64)
-    classes, slots = symbols // SLOTS, symbols % SLOTS
+    keys, out = features(contexts(symbols, buckets), offsets), model.log_within[buckets].astype(np.float64)
     for at in range(0, len(symbols), BATCH):
         s = slice(at, at + BATCH)
-        f, g = _rows(keys[:, s], classes[s])
-        i = np.arange(f.shape[1])
-        out[s] += np.log(_softmax(model.by_class, f)[i, classes[s]]) + np.log(_softmax(model.by_word, g)[i, slots[s]])
+        k, f = keys[:, s], _class_rows(keys[:, s], len(model.by_class))
+        place, node, taken, prior = _choices(model.tree, symbols[s], buckets[s])
+        p = _softmax(model.by_word, _word_rows(k[:, place], node, len(model.by_word)), prior)
+        n, log_p = f.shape[1], np.log(p[np.arange(len(taken)), taken].astype(np.float64))
+        if prior is not None:
+            log_p[n:] -= prior[np.arange(len(prior)), taken[n:]]
+        out[s] += np.log(_softmax(model.by_class, f)[np.arange(n), symbols[s] // SLOTS]) + np.bincount(place, log_p, n)
     return out
 
 
+def _counted(seen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(word, n) of distinct words from the counts of several blocks."""
+    words, at = np.unique(np.concatenate([w for w, _ in seen]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([c for _, c in seen]), len(words)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
 def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: float = RATE) -> MaxentModel:
-    """Train on every text.  Word counts are those of the whole corpus.
+    """Train on every text.  Word counts are those of the whole corpus, and the model's sizes follow from them.
 
-    In an epoch each task takes gradient steps over its texts and sends the changes of the rows that it touched; the mean of
-    each row's changes, weighted by how often tasks used the row, is added to the model that the next epoch begins with.
-    Only that model, of a fixed size, is broadcast and collected.  Null and empty texts add nothing.
+    An epoch has ROUNDS rounds, each over another part of the texts.  In a round each task takes gradient steps over its texts
+    and sends the changes of the rows that it touched; the mean of each row's changes, weighted by how often tasks used the
+    row, is added to the model that the next round begins with.  Tasks are few enough that a round sends about 2 bytes for each
+    word of the corpus.  The counts of the distinct words and the model are collected and broadcast.  Null and empty texts
+    add nothing.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col)).where(F.col(text_col).isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << WORD_BITS, np.int64)
+        seen, held = [], 0
         for batch in batches:
             for _, _, words, _ in word_hashes(batch.column(0)):
-                seen += np.bincount((words >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["bucket", "n"])
-
-    rows = texts.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << WORD_BITS, np.int64)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+                seen.append(np.unique(words, return_counts=True))
+                held += len(seen[-1][0])
+                if held > 1 << 21:
+                    yield _counted(seen)
+                    seen, held = [], 0
+        if seen:
+            yield _counted(seen)
+
+    rows = texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    bits = max(WORD_BITS, (2 * len(rows) - 1).bit_length())
+    at = rows.column("word").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+    counts = np.bincount(at.astype(np.int64), rows.column("n").to_numpy(), 1 << bits).astype(np.int64)
+    found = len(rows)
+    del rows, at
     model = new_model(counts)
-    for _ in range(epochs if len(rows) else 0):
-        shared = spark.sparkContext.broadcast(model)
+    size = 4 * (model.by_class.size + model.by_word.size + len(model.by_class) + len(model.by_word))
+    parallel = spark.sparkContext.defaultParallelism
+    tasks = parallel * max(1, int(2 * counts.sum() / size / parallel))
+    del counts
+    words = spark.sparkContext.broadcast((model.symbol, model.log_within, model.tree))
+    for k in range(epochs * ROUNDS if found else 0):
+        shared = spark.sparkContext.broadcast((model.by_class, model.by_word))
+        part = texts.where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == k % ROUNDS).coalesce(tasks)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value, rate)
+            symbol, log_within, tree = words.value
+            trainer = Trainer(MaxentModel(symbol, log_within, *shared.value, tree), rate)
             for batch in batches:
-                for _, _, _, symbols, offsets in symbol_batches(batch.column(0), shared.value):
-                    trainer.learn(symbols, offsets)
+                for _, _, buckets, symbols, offsets in symbol_batches(batch.column(0), trainer.start):
+                    trainer.learn(symbols, offsets, buckets)
             for part in trainer.updates():
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in part], ["block", "n", "change"])
 
@@ -204,13 +314,15 @@ def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: flo
                 step = change.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([step.astype(np.float32).tobytes()])], ["block", "change"])
 
-        updates = texts.mapInArrow(train, "block bigint, n binary, change binary")
+        updates = part.mapInArrow(train, "block bigint, n binary, change binary")
         merged = updates.repartition("block").mapInArrow(mean, "block bigint, change binary").toArrow()
         tables = [model.by_class.copy(), model.by_word.copy()]
         for block, change in zip(merged.column("block").to_pylist(), merged.column("change").to_pylist()):
-            k, b = divmod(block, CLASS_ROWS // ROWS_PER_BLOCK) if block < CLASS_ROWS // ROWS_PER_BLOCK else (1, block - CLASS_ROWS // ROWS_PER_BLOCK)
+            k, b = (0, block) if block < len(tables[0]) // ROWS_PER_BLOCK else (1, block - len(tables[0]) // ROWS_PER_BLOCK)
             tables[k][b * ROWS_PER_BLOCK : (b + 1) * ROWS_PER_BLOCK] += np.frombuffer(change, np.float32).reshape(ROWS_PER_BLOCK, -1)
-        model = MaxentModel(model.symbol, model.log_within, *tables)
+        model = MaxentModel(model.symbol, model.log_within, *tables, model.tree)
+        shared.unpersist()
+    words.unpersist()
     return model
 
 
