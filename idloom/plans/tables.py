@@ -639,6 +639,20 @@ def win_ring_buffer(spark, sf_dir):
     return read(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 50").select("event_type", "event_id")
 
 
+def retained(events: DataFrame) -> DataFrame:
+    """What the reference's buffer of each kind holds at the end: whenever it passes 10,000 observations, the last 5,000 stay."""
+    w = Window.partitionBy("event_type")
+    n = F.count("*").over(w)
+    kept = F.when(n <= 10000, n).otherwise(5000 + (n - 10001) % 5001)
+    return events.withColumn("kept", kept).withColumn("r", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id")))).where("r <= kept").select("event_type", "event_id")
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= CASE WHEN n <= 10000 THEN n ELSE 5000 + (n - 10001) % 5001 END")
+def win_observation_buffer(spark, sf_dir):
+    """The whole buffer of each kind; win_ring_buffer keeps its fifty as its SQL says."""
+    return retained(read(spark, sf_dir, "events"))
+
+
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.concat(F.lit("intro text\n## Part one\n"), "text", F.lit("\n## Part two\nend")).alias("text"))
 
