@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 import struct
 from dataclasses import dataclass, field
 
@@ -73,22 +73,21 @@ class CharacterMap:
 
     def __init__(self, blob: bytes):
         size = struct.unpack_from("<I", blob)[0] if blob else 0
-        self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
-        self.texts = blob[4 + size :]
         self.rules: dict[str, str] = {}
-        if self.units:
-            self._walk()
+        if size:
+            self._walk(np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :])
         self.longest = max(map(len, self.rules), default=0)
-        one = {k for k in self.rules if len(k) == 1}
+        self.one = one = {k for k in self.rules if len(k) == 1}
         more = [k for k in self.rules if len(k) > 1]
-        quote = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
-        options = [quote(one)] * bool(one) + [quote({k[0] for k in more}) + quote({k[1] for k in more})] * bool(more)
-        self.spots = re.compile("|".join(f"(?={x})" for x in options)) if options else None
+        self.second = {k[1] for k in more}
+        inner = {c for k in more for c in k[1:]}
+        #: Characters that become spaces alone and that no rule holds after its first one: a text can be cut before them.
+        self.blanks = {k for k in one if self.rules[k] and not self.rules[k].strip(" ") and k not in inner} | {" "} - inner
 
-    def _walk(self) -> None:
+    def _walk(self, units: np.ndarray, texts: bytes) -> None:
         """All keys, level by level."""
-        units, every = np.array(self.units, np.int64), np.arange(1, 256)
-        base, keys = np.array([_offset(self.units[0])]), [b""]
+        every = np.arange(1, 256)
+        base, keys = np.array([(int(units[0]) >> 10) << ((int(units[0]) & 512) >> 6)]), [b""]
         while len(base):
             child = base[:, None] ^ every
             there = (child < len(units)) & ((units[np.minimum(child, len(units) - 1)] & 0x800000FF) == every)
@@ -96,17 +95,18 @@ class CharacterMap:
             keys = [keys[r] + bytes([c + 1]) for r, c in zip(row.tolist(), col.tolist())]
             unit = units[child[row, col]]
             base = child[row, col] ^ ((unit >> 10) << ((unit & 512) >> 6))
-            for k in np.flatnonzero(unit >> 8 & 1).tolist():
-                start = self.units[base[k]] & 0x7FFFFFFF
-                self.rules[keys[k].decode("utf-8", "surrogateescape")] = self.texts[start : self.texts.index(b"\0", start)].decode("utf-8")
+            ends = np.flatnonzero(unit >> 8 & 1)
+            for k, start in zip(ends.tolist(), (units[base[ends]] & 0x7FFFFFFF).tolist()):
+                self.rules[keys[k].decode("utf-8", "surrogateescape")] = texts[start : texts.index(b"\0", start)].decode("utf-8")
+
+    def plain(self, text: str) -> bool:
+        """True if no rule can apply: the text has neither a character with a rule nor a second one of a longer rule."""
+        return self.one.isdisjoint(text) and self.second.isdisjoint(text)
 
     def apply(self, text: str) -> list[tuple[str, str]]:
         """(source, replacement) of consecutive parts of the text; equal parts are unchanged."""
-        if self.spots is None:
-            return [(text, text)] if text else []
-        out, at = [], 0
-        for spot in self.spots.finditer(text):
-            i = spot.start()
+        out, at, one, second = [], 0, self.one, self.second
+        for i in [i for i, (c, d) in enumerate(zip(text, text[1:] + "\0")) if c in one or d in second]:
             if i < at:
                 continue
             for k in range(min(self.longest, len(text) - i), 0, -1):
@@ -121,42 +121,53 @@ class CharacterMap:
         return out
 
 
-def _offset(unit: int) -> int:
-    return (unit >> 10) << ((unit & 512) >> 6)
+def mapped(text: str, cmap: CharacterMap) -> tuple[bytes, np.ndarray]:
+    """The text after replacement, spaces not yet squeezed, and for each of its bytes, and its end, the byte of the source."""
+    if cmap.plain(text):
+        done = text.encode()
+        return done, np.arange(len(done) + 1)
+    parts, sources, at = [], [], 0
+    for source, put in cmap.apply(text):
+        width, made = len(source.encode()), put.encode()
+        parts.append(made)
+        sources.append(np.arange(at, at + width) if source == put else np.full(len(made), at))
+        at += width
+    return b"".join(parts), np.concatenate([*sources, [at]]).astype(np.int64)
+
+
+def squeezed(done: bytes, place: np.ndarray, begins: bool) -> tuple[bytes, np.ndarray]:
+    """Runs of spaces become their first one.  Those at the end go, and those at the begin if the text begins here."""
+    if b"  " not in done and done[:1] != b" " and done[-1:] != b" ":
+        return done, place
+    raw = np.frombuffer(done, np.uint8)
+    blank = raw == 32
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    keep[0] |= not begins
+    keep[0] &= not (begins and blank[0])
+    if (held := np.flatnonzero(keep)).size and blank[held[-1]]:
+        keep[held[-1]] = False
+        end = place[held[-1]]
+    else:
+        end = place[held[-1] + 1] if held.size else place[-1]
+    return raw[keep].tobytes(), np.append(place[:-1][keep], end)
 
 
 def normalise(text: str, cmap: CharacterMap, dummy_prefix: bool, squeeze: bool) -> tuple[str, np.ndarray]:
     """The normalised text, spaces not yet marked, and for each of its bytes, and its end, the byte of the source it stems from.
 
     All bytes of a replacement point to the begin of what was replaced.  With `squeeze`, spaces at both ends go and runs of
-    them become one.  The added prefix points to the begin of the text.
+    them become one.  The added prefix points to the begin of the text that is left.
     """
-    plain = cmap.spots is None or not cmap.spots.search(text)
-    if plain and not squeeze:
-        size = len(text.encode())
-        if not (dummy_prefix and text):
-            return text, np.arange(size + 1)
-        return " " + text, np.maximum(np.arange(-1, size + 1), 0)
-    parts, sources, at = [], [], 0
-    for source, put in [(text, text)] if plain and text else cmap.apply(text):
-        width, made = len(source.encode()), len(put.encode())
-        parts.append(put)
-        sources.append(np.arange(at, at + width) if source == put else np.full(made, at))
-        at += width
-    done, place = "".join(parts).encode(), np.concatenate([*sources, [at]]).astype(np.int64)
+    done, place = mapped(text, cmap)
     if squeeze:
-        raw = np.frombuffer(done, np.uint8)
-        blank = raw == 32
-        keep = ~blank
-        keep[1:] |= ~blank[:-1]
-        if len(raw) and blank[0]:
-            keep[0] = False
-        if (held := np.flatnonzero(keep)).size and blank[held[-1]]:
-            keep[held[-1]] = False
-            end = place[held[-1]]
-        else:
-            end = place[held[-1] + 1] if held.size else at
-        done, place = raw[keep].tobytes(), np.append(place[:-1][keep], end)
+        done, place = squeezed(done, place, True)
     if dummy_prefix and done:
         done, place = b" " + done, np.concatenate([place[:1], place])
     return done.decode(), place
+
+
+@functools.lru_cache(maxsize=2)
+def character_map(blob: bytes) -> CharacterMap:
+    """The map of a compiled blob; reading one with 200,000 rules takes seconds, so it is kept."""
+    return CharacterMap(blob)

@@ -54,7 +54,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode_documents(_read(spark, sf_dir, "documents"), sentence_pieces.load(VOCABULARY))
+    """The vocabulary's own normaliser is the identity: texts are normalised by the library's compiled map nmt_nfkc."""
+    return sentence_pieces.encode_documents(_read(spark, sf_dir, "documents"), sentence_pieces.load(VOCABULARY), charsmap=sentence_pieces.published_map(), squeeze=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

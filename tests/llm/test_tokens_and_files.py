@@ -25,7 +25,7 @@ def texts(spark):
 
 
 def test_pieces_equal_the_library(texts):
-    offsets, ids, begins, ends = ENCODER.encode(texts)
+    offsets, ids, begins, ends, same = ENCODER.encode(texts)
     for text, a, b in zip(texts, offsets, offsets[1:]):
         assert ids[a:b].tolist() == LIBRARY.encode(text)
         assert ENCODER.decode(ids[a:b]) == LIBRARY.decode(ids[a:b].tolist())
@@ -40,7 +40,8 @@ def test_pieces_equal_the_library(texts):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab \n▁éñ漢🎉é0.") | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_any_text_as_the_library(text):
-    offsets, ids, _, _ = ENCODER.encode([text])
+    _, ids, _, _, same = ENCODER.encode([text])
+    assert same[0] == (ENCODER.decode(ids) == text)
     assert ids.tolist() == LIBRARY.encode(text)
     if "▁" not in text:
         assert ENCODER.decode(ids) == text
@@ -62,12 +63,86 @@ def test_character_map_as_the_library(text):
 def test_spans_through_the_character_map():
     encoder = sentence_pieces.PieceEncoder(MODEL, MAP, squeeze=True)
     text = "ﬁne  Ａpple"
-    _, ids, begins, ends = encoder.encode([text])
+    _, ids, begins, ends, _ = encoder.encode([text])
     raw = text.encode()
     assert b"".join(encoder.surface[i] for i in ids) == b" fine Apple"
     assert raw[begins[0] : ends[0]].decode() in ("ﬁ", "ﬁn", "ﬁne") and ends[-1] == len(raw)
 
 
+def varint(n: int) -> bytes:
+    return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+
+def mapped_library() -> sentencepiece.SentencePieceProcessor:
+    """The published vocabulary with the map nmt_nfkc and squeezing: a later normaliser overrides fields of the first."""
+    charsmap = sentence_pieces.published_map()
+    spec = b"\x12" + varint(len(charsmap)) + charsmap + b"\x18\x01\x20\x01"
+    with open(VOCABULARY, "rb") as f:
+        return sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x1a" + varint(len(spec)) + spec)
+
+
+MAPPED, MAPPED_ENCODER = mapped_library(), sentence_pieces.PieceEncoder(MODEL, MAP, squeeze=True)
+
+
+def plain_spans(text: str, ids: list[int]) -> list[tuple[int, int]]:
+    """Spans by a walk over the text: the longest rule at each place, squeezing byte by byte, then the widths of the pieces."""
+    done, at, k = [], 0, 0
+    while k < len(text):
+        n = next((n for n in range(MAP.longest, 0, -1) if k + n <= len(text) and text[k : k + n] in MAP.rules), 0)
+        source = text[k : k + max(n, 1)]
+        put = MAP.rules[source] if n else source
+        done += [(b, at + (0 if n and put != source else i)) for i, b in enumerate(put.encode())]
+        at, k = at + len(source.encode()), k + max(n, 1)
+    end = at
+    while done and done[0][0] == 32:
+        done.pop(0)
+    while done and done[-1][0] == 32:
+        end = done.pop()[1]
+    done = [x for i, x in enumerate(done) if x[0] != 32 or done[i - 1][0] != 32]
+    if done:
+        done.insert(0, (32, done[0][1]))
+    places, out, k = [p for _, p in done] + [end], [], 0
+    for i in ids:
+        n = 1 if MODEL.types[i] == piece_model.BYTE else len(MODEL.pieces[i].replace("▁", " ").encode())
+        out.append((places[k], places[k + n]))
+        k += n
+    return out
+
+
+def check_mapped(texts: list[str]) -> None:
+    offsets, ids, begins, ends, same = MAPPED_ENCODER.encode(texts)
+    for k, (text, a, b) in enumerate(zip(texts, offsets, offsets[1:])):
+        assert ids[a:b].tolist() == MAPPED.encode(text)
+        assert list(zip(begins[a:b].tolist(), ends[a:b].tolist())) == plain_spans(text, ids[a:b].tolist())
+        assert same[k] == (MAPPED_ENCODER.decode(ids[a:b]) == text)
+
+
+def test_mapped_pieces_and_spans_equal_the_library_and_a_plain_walk(texts):
+    check_mapped(texts)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ﬁＡéがが½㍿´ \t\n\u200b\x01\xa0▁ﷺaz漢🎉"), max_size=12), max_size=6))
+def test_any_mapped_text_as_the_library(texts):
+    check_mapped(texts)
+
+
+def test_long_units_are_cut_where_no_piece_crosses():
+    r = random.Random(3)
+    text = "".join(r.choice("abcdeqxz01+/é漢") for _ in range(20_000)) + "a" * 3000
+    assert MAPPED_ENCODER.encode([text])[1].tolist() == MAPPED.encode(text)
+
+
+def test_query_encodes_as_the_library_with_the_map(spark):
+    from idloom.llm.queries import op10_sentencepiece
+
+    want = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op10_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.ids == MAPPED.encode(want[r.doc_id]) and list(zip(r.begins, r.ends)) == plain_spans(want[r.doc_id], r.ids)
+
+
 def plain_count(word: str, scores: dict) -> tuple[float, int]:
     """Best score and fewest pieces, by a table over all ends."""
     unknown = min(scores.values()) - 10
