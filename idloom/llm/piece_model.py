@@ -85,19 +85,25 @@ class CharacterMap:
         self.blanks = {k for k in one if self.rules[k] and not self.rules[k].strip(" ") and k not in inner} | {" "} - inner
 
     def _walk(self, units: np.ndarray, texts: bytes) -> None:
-        """All keys, level by level."""
+        """All keys, by blocks of nodes, the deepest first."""
         every = np.arange(1, 256)
-        base, keys = np.array([(int(units[0]) >> 10) << ((int(units[0]) & 512) >> 6)]), [b""]
-        while len(base):
-            child = base[:, None] ^ every
+        open_ = [(np.array([(int(units[0]) >> 10) << ((int(units[0]) & 512) >> 6)]), [b""])]
+        while open_:
+            base, keys = open_.pop()
+            if len(base) > 2048:
+                open_.append((base[2048:], keys[2048:]))
+            child = base[:2048, None] ^ every
             there = (child < len(units)) & ((units[np.minimum(child, len(units) - 1)] & 0x800000FF) == every)
             row, col = np.nonzero(there)
+            if not len(row):
+                continue
             keys = [keys[r] + bytes([c + 1]) for r, c in zip(row.tolist(), col.tolist())]
             unit = units[child[row, col]]
             base = child[row, col] ^ ((unit >> 10) << ((unit & 512) >> 6))
             ends = np.flatnonzero(unit >> 8 & 1)
             for k, start in zip(ends.tolist(), (units[base[ends]] & 0x7FFFFFFF).tolist()):
                 self.rules[keys[k].decode("utf-8", "surrogateescape")] = texts[start : texts.index(b"\0", start)].decode("utf-8")
+            open_.append((base, keys))
 
     def plain(self, text: str) -> bool:
         """True if no rule can apply: the text has neither a character with a rule nor a second one of a longer rule."""
