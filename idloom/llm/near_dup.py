@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm._scratch import Scratch, broadcast_within, unused
+from idloom.llm._filters import without
+from idloom.llm._scratch import Scratch
 from idloom.llm._text import mix, word_hashes
 
 HASHES, BANDS, SHINGLE, SIMILAR = 128, 32, 3, 0.5
+#: Rows of one bucket that a task compares with each other, and edges that a task merges before the first round.
+CELL, EDGES = 1 << 15, 1 << 20
 
 
 def _family(hashes: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
@@ -88,59 +92,134 @@ def _sign(hashes: int, bands: int, size: int):
     return run
 
 
-def bucket_edges(ids: np.ndarray, keys: np.ndarray, sig: np.ndarray, need: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect just what comparing all pairs within each bucket would connect.  Rows come sorted by bucket.
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positions each row of a shares with each row of b; position by position, so that no three-way table is made."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for p, q in zip(x, y):
+        out += p[:, None] == q
+    return out
 
-    Every member is compared with the first of its bucket.  A member that agrees with it is connected through it; one that
-    doesn't is compared with the whole bucket.  The pairs left out lie within one component already.
-    """
-    fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
-    first = np.flatnonzero(fresh)
-    group = np.cumsum(fresh) - 1
-    lead = first[group]
-    alike = np.concatenate([(sig[i : i + 65536] == sig[lead[i : i + 65536]]).sum(axis=1) for i in range(0, len(ids), 65536)]) >= need
-    found = [(ids[lead[alike & ~fresh]], ids[alike & ~fresh])]
-    ends = np.append(first[1:], len(ids))
-    for i in np.flatnonzero(~alike):
-        g = group[i]
-        near = np.flatnonzero((sig[first[g] : ends[g]] == sig[i]).sum(axis=1) >= need) + first[g]
-        near = near[near != i]
-        if len(near):
-            found.append((np.full(len(near), ids[i]), ids[near]))
+
+def odd_edges(odd: tuple[np.ndarray, np.ndarray], members: tuple[np.ndarray, np.ndarray], need: int, block: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges between rows unlike their bucket's first member and members of the bucket, both as (ids, signatures)."""
+    found = []
+    for i in range(0, len(odd[0]), block):
+        for j in range(0, len(members[0]), 8 * block):
+            k, m = np.nonzero(agreements(odd[1][i : i + block], members[1][j : j + 8 * block]) >= need)
+            a, b = odd[0][i + k], members[0][j + m]
+            found.append((a[a != b], b[a != b]))
     return found
 
 
-def _verify(need: int, hashes: int):
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, hashes)
+
+
+def _compare(need: int, hashes: int):
+    """For sorted rows (cell, odd, id, sig): the edges of each cell, whose rows are as many as a cell may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def edges(ids, keys, sig):
-            pairs = bucket_edges(ids, keys, sig, need)
-            a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
+        def out() -> pa.RecordBatch:
+            odd, ids, sig = (np.concatenate(x) for x in zip(*[h[1:] for h in held]))
+            return _pairs(odd_edges((ids[odd], sig[odd]), (ids[~odd], sig[~odd]), need))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, hashes)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            cut = int(np.searchsorted(now[1], now[1][-1]))
-            if cut:
-                yield edges(*(x[:cut] for x in now))
-            rest = [x[cut:].copy() for x in now]
-        if rest is not None:
-            yield edges(*rest)
+            cell = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cols = (cell, batch.column(3).to_numpy(zero_copy_only=False).astype(bool), batch.column(4).to_numpy(), _matrix(batch.column(5), hashes))
+            cuts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1), [True]])) if len(cell) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (held[0][0][0] != cell[a]).any():
+                    yield out()
+                    held = []
+                held.append(tuple(c[a:b].copy() for c in cols))
+        if held:
+            yield out()
 
     return run
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
+def _alike(hashes: int):
+    """How many positions two columns of signatures share."""
+
+    @F.arrow_udf("int")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((_matrix(a, hashes) == _matrix(b, hashes)).sum(axis=1).astype(np.int32))
+
+    return alike
+
+
+def bucket_pairs(alone: DataFrame, need: int, hashes: int, scratch: Scratch, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) that connect just what comparing all pairs within each bucket would connect.
+
+    Every member of a bucket is compared with its first one, the least (id, h1), and connected through it if alike.  One that
+    isn't is compared with the whole bucket; pairs left out lie within one component already.  No task holds a bucket: members
+    meet their first one in a join, and the comparisons of the others are dealt to cells of about `cell` rows either way.
+    """
+    keys = alone.select("id", "h1", F.explode("bands").alias("key"))
+    many = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "h1")).alias("first")).where("n > 1")
+    members = scratch.table(keys.join(many.select("key", "n", F.col("first.id").alias("first_id"), F.col("first.h1").alias("first_h1")), "key"), "members")
+    signed = alone.select("id", "h1", "sig").distinct()
+    own = members.join(signed, ["id", "h1"])
+    first = members.where("id = first_id and h1 = first_h1").select("key", "id", "h1").distinct().join(signed, ["id", "h1"]).select("key", F.col("sig").alias("first_sig"))
+    met = own.where("id <> first_id or h1 <> first_h1").join(first, "key").withColumn("same", _alike(hashes)("sig", "first_sig"))
+    met = scratch.table(met.select("key", "n", "id", "h1", "first_id", "same"), "met")
+    odd = met.where(F.col("same") < need)
+    held = odd.groupBy("key").agg(F.count("*").alias("odd"), F.max("n").alias("n"))
+    cells = held.select("key", F.ceil(F.col("odd") / cell).cast("int").alias("across"), F.ceil(F.col("n") / cell).cast("int").alias("down"))
+    part = lambda n, salt: F.pmod(F.xxhash64("id", "h1", F.lit(salt)), F.col(n)).cast("bigint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
+    rows = odd.join(cells, "key").select("key", part("across", 1).alias("x"), "down", "id", "h1", F.lit(True).alias("odd"))
+    rows = rows.select("key", "x", every("down").alias("y"), "odd", "id", "h1")
+    all_ = members.join(cells, "key").select("key", "across", part("down", 2).alias("y"), "id", "h1", F.lit(False).alias("odd"))
+    all_ = all_.select("key", every("across").alias("x"), "y", "odd", "id", "h1")
+    dealt = rows.unionByName(all_).join(signed, ["id", "h1"]).select("key", "x", "y", "odd", "id", "sig")
+    found = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compare(need, hashes), "a bigint, b bigint")
+    return found.unionByName(met.where(F.col("same") >= need).select(F.col("first_id").alias("a"), F.col("id").alias("b")))
+
+
+def star_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges with the same components, of `most` edges at a time: each node joined to the least one of its component."""
+
+    def out() -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*held))
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(names))
+        while True:
+            low, before = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            root = root[root]
+            if (root == before).all() and (root[a] == root[b]).all():
+                break
+        node = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(names[node]), pa.array(names[root[node]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= most:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
+def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int = EDGES) -> DataFrame:
     """(id, root) for every node of the edges (a, b): alternate large-star and small-star until the edges no longer change.
 
-    Each round's edges are a written table, which cuts the lineage.  No edges: no rows.
+    Before the first round every `most` edges are merged where they lie.  Each round's edges are a written table, which cuts
+    the lineage.  No edges: no rows.
     """
 
     def minimum(pairs: DataFrame) -> DataFrame:
@@ -148,9 +227,11 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         least = pairs.groupBy("u").agg(F.min("v").alias("least"))
         return pairs.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0")
+    plain = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    parts = max(1, -(-plain.count() // most))
+    now = scratch.table(plain.repartition(parts).mapInArrow(lambda b: star_batches(b, most), "u bigint, v bigint").distinct(), "edges0")
     before = None
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = minimum(large)
@@ -161,8 +242,6 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         if sums == before:
             break
         before = sums
-    else:
-        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
@@ -173,7 +252,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Jaccard similarity of their word shingles (lower case, punctuation left out).  A text shorter than a shingle is one
     shingle.  Texts without words (null, empty, symbols only) and rows without an id have no near copies.  Rows that share
     an id are one document, near to all that any of them is near to.  An empty table gives no rows.  Other columns are
-    ignored.  Every document queries every bucket that it falls into, with no cap on members.
+    ignored.  Texts are read whole, however long.  Every document queries every bucket that it falls into, with no cap on members.
     """
     spark, need = docs.sparkSession, int(np.ceil(similar * hashes))
     scratch = Scratch(spark, "neardup")
@@ -182,23 +261,23 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Equal signatures need no banding: their smallest id stands for all of them.
     whole = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.table(signed.select("id", "h1", "h2").join(whole, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), "h1"), "copies")
-    alone = signed.join(broadcast_within(copies.select(F.col("b").alias("id"), "h1"), copies.count(), 48), ["id", "h1"], "left_anti")
-    keys = alone.select("id", "h1", F.explode("bands").alias("key"))
-    members = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    bucketed = members.join(signed.select("id", "h1", "sig"), ["id", "h1"]).select("id", "key", "sig").repartition("key").sortWithinPartitions("key", "id")
-    edges = scratch.table(bucketed.mapInArrow(_verify(need, hashes), "a bigint, b bigint").unionByName(copies.select("a", "b")), "edges")
-    scratch.drop("copies", "signed")
+    alone = without(signed, [F.col("id"), F.col("h1")], copies.select(F.col("b").alias("id"), "h1"))
+    edges = scratch.table(bucket_pairs(alone, need, hashes, scratch).unionByName(copies.select("a", "b")), "edges")
+    scratch.drop("copies", "signed", "members", "met")
     groups = connected_components(spark, edges, scratch)
     scratch.drop("edges")
     return groups
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows to keep: of each group of near copies the document of the smallest id.  All columns stay as they are."""
-    name = unused("__gone", docs)
-    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> root").select(F.col("id").alias(name))
+    """The rows to keep: of each group of near copies the document of the smallest id.  All columns stay as they are.
+
+    Rows with null or wordless texts, or without an id, stay; an empty table gives no rows.  Texts aren't shuffled: a row that
+    goes is dropped where it is read.
+    """
+    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> root").select("id")
     gone = Scratch(docs.sparkSession, "neardup-gone").table(gone, "gone")
-    return docs.join(broadcast_within(gone, gone.count(), 40), F.col(id_col).cast("bigint") == F.col(name), "left_anti")
+    return without(docs, [F.col(id_col).cast("bigint")], gone)
 
 
 def group_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
