@@ -74,7 +74,8 @@ def test_scores_are_the_factorization_machine(spark):
     machine = toxicity.FactorizationMachine(slot, 0.3, r.normal(size=6), r.normal(size=(6, 3)), 0.5)
     docs = [np.array(x, np.int64) for x in ([], [0], [1, 4], [0, 2, 3, 5], [9, 1, 0])]
     got = machine.score(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
-    for d, p in zip(docs, got):
+    assert got[0] == 0
+    for d, p in zip(docs[1:], got[1:]):
         d = [t for t in d if t < 6]
         y = 0.3 + sum(machine.w[t] for t in d) + sum(machine.v[a] @ machine.v[b] for a, b in itertools.combinations(d, 2))
         assert abs(p - 1 / (1 + np.exp(-y))) < 1e-9
@@ -94,6 +95,43 @@ def test_pairs_that_linear_weights_miss():
     assert ((score >= machine.threshold) == (toxic[1000:] == 1)).mean() > 0.9
 
 
+def test_a_pair_among_commoner_terms():
+    """Each of 1,100 terms has more documents than either term of the pair, which alone say little."""
+    r = np.random.default_rng(2)
+    docs, toxic = [], []
+    for _ in range(8000):
+        a, b = (r.random(2) < 0.15).tolist()
+        docs.append(np.unique(np.concatenate([r.choice(1100, 200, replace=False) + 100, [7] * a, [9] * b]).astype(np.int64)))
+        toxic.append(int(a == b))
+    toxic = np.array(toxic)
+    machine = toxicity.train(docs[:6000], toxic[:6000], epochs=20)
+    x, y = machine.v[machine.slot[7]].astype(float), machine.v[machine.slot[9]].astype(float)
+    score = machine.score(np.concatenate(docs[6000:]), np.concatenate([[0], np.cumsum([len(d) for d in docs[6000:]])]))
+    assert x @ y > 1 and ((score >= machine.threshold) == (toxic[6000:] == 1)).mean() > toxic[6000:].mean() + 0.08
+
+
+@pytest.mark.parametrize("share", [0.1, 0.7])
+def test_texts_without_words_stay(spark, share):
+    r = np.random.default_rng(4)
+    rows = [(i, ("vile " if i < share * 400 else "kind ") + " ".join(f"w{k}" for k in r.integers(0, 50, 8))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "?!"), (None, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < share * 400)) for i in range(400)], "doc_id bigint, toxic int")
+    kept = [r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()]
+    assert {900, 901, 902, None} <= set(kept) and abs(len(kept) - 4 - 400 * (1 - share)) < 8
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(scored) == 404 and all(scored[k].toxicity == 0 and not scored[k].toxic for k in (900, 901, 902, None))
+
+
+def test_a_score_at_the_threshold_is_toxic(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "same words"), (2, "same words"), (3, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, toxic int")
+    machine = toxicity.fit(docs, labels)
+    at = docs.select("doc_id", toxicity.toxicity(docs, machine).alias("p")).where("doc_id = 1").first().p
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.replace(machine, threshold=at))
+    assert {r.doc_id for r in toxicity.score_toxicity(docs, labels).where("toxic").collect()} >= {1, 2}
+    assert not {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} & {1, 2}
+
+
 def test_toxic_documents_held_out(spark):
     sf = SF.replace("0.01", "0.1")
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").toPandas()
