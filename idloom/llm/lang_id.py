@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idloom.llm._text import blocks, buffers, segment_sum, word_spans
+from idloom.llm._text import BLOCK, _cuts, blocks, buffers, segment_sum, word_spans
 
-BUCKET_BITS, PER_LANGUAGE, PENALTY, MIN_SHARE = 17, 600, 6.0, 0.05
+BUCKET_BITS, PER_LANGUAGE, LANGUAGES, PENALTY, MIN_SHARE = 17, 600, 128, 6.0, 0.05
 UNKNOWN = "und"
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -51,22 +51,72 @@ def _trigrams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS), at
 
 
+def _words(part: np.ndarray, starts: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of the words of consecutive texts, and where each word begins."""
+    code, at = _trigrams(part, starts)
+    if not len(at):
+        return np.zeros((0, model.log_p.shape[1]), np.float32), at
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = at[1:] != at[:-1] + 1
+    doc = np.searchsorted(at, starts)
+    fresh[doc[doc < len(at)]] = True
+    first = np.flatnonzero(fresh)
+    return np.add.reduceat(model.log_p[code], first, axis=0), at[first]
+
+
 def word_likelihoods(texts: pa.Array, model: LanguageModel):
-    """For each block of rows: (i, j, log-likelihoods of the words by language, offsets of the words by row)."""
+    """For each block of rows: (i, j, log-likelihoods of the words by language, offsets of the words by row).
+
+    A text longer than a block comes alone, its likelihoods in a list of parts of single precision.
+    """
     raw, offsets = buffers(pc.utf8_lower(texts))
     for i, j in blocks(offsets):
         part, starts = raw[offsets[i] : offsets[j]], offsets[i:j] - offsets[i]
-        code, at = _trigrams(part, starts)
-        if not len(at):
-            yield i, j, np.zeros((0, model.log_p.shape[1])), np.zeros(j - i + 1, np.int64)
+        if len(part) > BLOCK:
+            cuts = _cuts(part)
+            yield i, j, [_words(part[a:b], np.zeros(1, np.int64), model)[0] for a, b in zip(cuts, cuts[1:])], None
             continue
-        fresh = np.ones(len(at), dtype=bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        doc = np.searchsorted(at, starts)
-        fresh[doc[doc < len(at)]] = True
-        first = np.flatnonzero(fresh)
-        likely = np.add.reduceat(model.log_p[code], first, axis=0)
-        yield i, j, likely.astype(np.float64), np.searchsorted(at[first], offsets[i : j + 1] - offsets[i]).astype(np.int64)
+        likely, begins = _words(part, starts, model)
+        yield i, j, likely.astype(np.float64), np.searchsorted(begins, offsets[i : j + 1] - offsets[i]).astype(np.int64)
+
+
+def infer_long(parts: list[np.ndarray], penalty: float = PENALTY, min_share: float = MIN_SHARE, rounds: int = 12) -> tuple[np.ndarray, int]:
+    """(proportions, words) of one text given in parts, as infer has them; no table of the whole text is made."""
+    n, k = sum(map(len, parts)), parts[0].shape[1]
+    single = sum(p.sum(axis=0, dtype=np.float64) for p in parts)
+    out = np.zeros(k)
+    if not n:
+        return out, 0
+    out[single.argmax()] = 1
+    price, value = penalty * np.log(max(n, 2)), single.max()
+    if n < 2 or sum(p.max(axis=1).sum(dtype=np.float64) for p in parts) - price <= value:
+        return out, n
+
+    def mixture(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+        pi = allowed / allowed.sum()
+        for last in [False] * rounds + [True]:
+            joint, reach = np.zeros(k), 0.0
+            for part in parts:
+                top = part.max(axis=1, keepdims=True).astype(np.float64)
+                p = np.exp(part - top) * pi
+                total = np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+                if last:
+                    reach += float((np.log(total) + top).sum())
+                else:
+                    joint += (p / total).sum(axis=0)
+            if last:
+                return pi, reach
+            pi = joint / n
+
+    full, _ = mixture(np.ones(k), rounds)
+    order, value = np.argsort(-full, kind="stable"), value - price
+    for m in range(2, k + 1):
+        allowed = np.zeros(k)
+        allowed[order[:m]] = 1
+        pi, got = mixture(allowed, 2 * rounds)
+        if got - m * price > value and pi[order[:m]].min() >= min_share:
+            value, out = got - m * price, pi
+    return out, n
 
 
 def _mixture(likely: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +180,19 @@ def infer(likely: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY, min
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.2) -> LanguageModel:
-    """Train on about `per_language` whole labelled texts of each language, chosen by hash.  This bound is the sample's only one.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.2, languages: int = LANGUAGES) -> LanguageModel:
+    """Train on at most about `per_language` whole labelled texts of each of the `languages` commonest labels.
 
-    Rows with a null text or label don't count.  Without labelled rows the model has `und` alone.
+    Texts are chosen by hash, and copies of a text count once.  These bounds are the sample's only ones.  Rows with a null text
+    or label don't count.  Without labelled rows the model has `und` alone.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     languages = tuple(sorted(counts))
     if languages:
         rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
         chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate[F.col("lang")] * F.lit(float(1 << 30))
-        rows = known.where(chosen).toArrow()
+        rows = known.where(chosen).distinct().toArrow()
     size = 1 << BUCKET_BITS
     log_p = np.full((size, len(languages) + 1), -np.log(size), np.float32)
     for k, lang in enumerate(languages):
@@ -172,7 +223,11 @@ def language_mixture(docs: DataFrame, model: LanguageModel, text_col: str = "tex
         names, und = np.array(model.languages, dtype=object), len(model.languages) - 1
         sizes, langs, shares, accepted = [], [], [], []
         for _, _, likely, offsets in word_likelihoods(texts, model):
-            pi = infer(likely, offsets, penalty, min_share)
+            if offsets is None:
+                pi, n = infer_long(likely, penalty, min_share)
+                pi, offsets = pi[None], np.array([0, n])
+            else:
+                pi = infer(likely, offsets, penalty, min_share)
             order = np.argsort(-pi, axis=1, kind="stable")
             ranked = np.take_along_axis(pi, order, axis=1)
             keep = ranked > 0
@@ -192,7 +247,10 @@ def language_mixture(docs: DataFrame, model: LanguageModel, text_col: str = "tex
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
-    """(doc_id, language, languages, shares, accepted) for every row; language is the first, or null.  Other columns are left out."""
+    """(doc_id, language, languages, shares, accepted) for every row; language is the first, or null.  Other columns are left out.
+
+    Rows keep null and repeated ids; an empty table gives no rows.
+    """
     model = fit(docs, text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), language_mixture(docs, model, text_col, **how).alias("r"))
     return found.select("doc_id", F.try_element_at("r.languages", F.lit(1)).alias("language"), "r.languages", "r.shares", "r.accepted")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from idloom.llm._scratch import Scratch
 
-CAPACITIES, SHARD = (1024, 2048, 4096, 8192, 16384), 1 << 26
+CAPACITIES, SHARD, ITEMS = (1024, 2048, 4096, 8192, 16384), 1 << 26, 1 << 20
 OVERHEAD, QUADRATIC = 96.0, 1 / 65536
 
 
@@ -23,14 +24,25 @@ def bin_cost(capacity: float, overhead: float = OVERHEAD, quadratic: float = QUA
 def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, cost=bin_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit of lengths that come in falling order: (bin, offset) of each, and the size of each bin.
 
-    An item goes to the open bin that it leaves least room in, the oldest of equals.  If none has room, the size with the
-    least cost for each position among those that hold the item is opened.  At the end each bin takes the cheapest size
-    that holds its contents.
+    An item goes to the open bin that it leaves least room in, the oldest of equals.  If none has room, a bin is opened, of the
+    size with the least cost for each position that can be filled: by the item and by those still to come that are no longer
+    than the room beside it.  At the end each bin takes the cheapest size that holds its contents.
     """
     sizes = sorted(capacities)
     price = [cost(c) for c in sizes]
     top = sizes[-1]
-    opens = np.array([min((k for k in range(len(sizes)) if sizes[k] >= n), key=lambda k: (price[k] / sizes[k], sizes[k])) for n in sizes])
+    falling = -lengths  # rising, for searches
+    to_come = np.concatenate([np.cumsum(lengths[::-1])[::-1], [0]]).tolist()
+    from_length = np.searchsorted(falling, -np.arange(top + 1)).tolist()  # the first item of at most that length
+
+    def opened(i: int, n: int) -> int:
+        best = None
+        for k in range(bisect_left(sizes, n), len(sizes)):
+            room = sizes[k] - n
+            value = (price[k] / (n + min(room, to_come[max(i + 1, from_length[room])])), sizes[k])
+            best = value if best is None or value < best else best
+        return best[1]
+
     by_room: list[list[int]] = [[] for _ in range(top + 1)]  # a queue of bins by room left; `heads` is where each begins
     heads = [0] * (top + 1)
     words = (top >> 6) + 1
@@ -38,7 +50,6 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, cost=bin_c
     summary = 0
     where, offset, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
     room_of: list[int] = []
-    at_size = np.searchsorted(sizes, lengths)
     for i, n in enumerate(lengths.tolist()):
         w = n >> 6
         here = held[w] >> (n & 63) << (n & 63)
@@ -58,7 +69,7 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, cost=bin_c
                 if not held[w]:
                     summary &= ~(1 << w)
         else:
-            b, room = len(used), sizes[opens[at_size[i]]]
+            b, room = len(used), opened(i, n)
             used.append(0)
             room_of.append(room)
         where[i], offset[i] = b, used[b]
@@ -94,6 +105,7 @@ def _pack_shards(capacities: Sequence[int]):
         for batch in batches:
             shard = batch.column(0).to_numpy()
             cols = (batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            cols, shard = tuple(np.repeat(c, batch.column(4).to_numpy()) for c in cols), np.repeat(shard, batch.column(4).to_numpy())
             edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
             for a, b in zip(edges, edges[1:]):
                 if shard[a] != now and held:
@@ -112,24 +124,32 @@ def byte_tokens(text: Column) -> Column:
     return F.octet_length(text) + F.lit(1)
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD) -> DataFrame:
+def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD, shard_items: int = ITEMS) -> DataFrame:
     """(doc_id, start, length, shard, bin, offset, bin_size): which part of each document lies where in which sequence.
 
     Length is in tokens, by default those of a byte-level vocabulary.  A document longer than the largest capacity is cut
     into parts of that capacity and a rest, so every token is packed once.  Documents with a null or zero length have no
     parts; the default gives an empty text one token and a null text none.  Repeated rows are packed each.  Rows with a null
-    id are packed after the others of their length.  Documents are dealt to shards of about `shard_tokens` by the hash of
-    the id and the length, each packed in falling order of length, then by id: only lengths are shuffled, never texts.  A
-    bin is named by shard and bin.
+    id are packed after the others of their length.  An empty table gives no rows.  A bin is named by shard and bin.
+
+    Documents are dealt to shards of about `shard_tokens` and at most about `shard_items` parts, each packed in falling order
+    of length, then by id: only lengths are shuffled, never texts.  Rows that share id and length are counted first and their
+    number is split among all shards, so that no shard grows with them.
     """
     spark, top = docs.sparkSession, max(capacities)
     if min(capacities) < 1:
         raise ValueError("capacities must be positive")
     measured = docs.select(F.col(id_col).cast("bigint").alias("id"), (byte_tokens(F.col(text_col)) if length is None else length).cast("bigint").alias("n")).where("n > 0")
-    lengths = Scratch(spark, "packing").table(measured, "lengths")
-    total = lengths.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    parts = lengths.select("id", F.posexplode(F.expr(f"concat(array_repeat({top}L, int(n div {top})), array_compact(array(nullif(n % {top}, 0))))")).alias("k", "part"), F.pmod(F.xxhash64("id", "n"), F.lit(shards)).alias("shard"))
-    dealt = parts.select("shard", "id", (F.col("k") * top).cast("bigint").alias("start"), F.col("part").cast("bigint").alias("part"))
+    scratch = Scratch(spark, "packing")
+    lengths = scratch.table(measured.groupBy("id", "n").agg(F.count("*").alias("times")), "lengths")
+    total, items = lengths.agg(F.sum(F.col("n") * F.col("times")), F.sum(F.ceil(F.col("n") / top) * F.col("times"))).first()
+    shards = max(1, -(-int(total or 0) // shard_tokens), -(-int(items or 0) // shard_items))
+    # Part k of a document begins at k * top; each of the rows that share it goes to the next shard, round and round.
+    parts = lengths.select("id", "n", "times", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {top}"))).alias("k"))
+    ways = F.least(F.col("times"), F.lit(shards).cast("bigint"))
+    dealt = parts.select("id", "n", "times", "k", F.explode(F.sequence(F.lit(0).cast("bigint"), ways - 1)).alias("way"))
+    shard = F.pmod(F.pmod(F.xxhash64("id", "n"), F.lit(shards)) + F.col("way"), F.lit(shards))
+    copies = F.expr("times div least(times, %dL) + if(way < times %% least(times, %dL), 1, 0)" % (shards, shards))
+    dealt = dealt.select(shard.alias("shard"), "id", (F.col("k") * top).alias("start"), F.least(F.col("n") - F.col("k") * top, F.lit(top)).alias("part"), copies.cast("bigint").alias("copies"))
     sorted_ = dealt.repartition("shard").sortWithinPartitions("shard")
     return sorted_.mapInArrow(_pack_shards(tuple(capacities)), "doc_id bigint, start bigint, length bigint, shard bigint, bin bigint, offset bigint, bin_size bigint")

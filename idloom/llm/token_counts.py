@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from idloom.llm.piece_model import BYTE, NORMAL, SPACE, PieceModel
 
-NODES = 800_000
+#: Nodes of a trie, and characters of the longest word that goes into it.
+NODES, LONG = 800_000, 512
 
 
 def unigram_scores(model: PieceModel) -> dict[str, float]:
@@ -28,6 +30,7 @@ class CountingTrie:
         self.scores, self.nodes = scores, nodes
         #: Every suffix of a piece, with the score if it is a piece itself: going back stops where no piece can end.
         self.endings: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
+        self.longest = max(map(len, scores), default=0)
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.byte_fallback = byte_fallback
         self.clear()
@@ -70,21 +73,57 @@ class CountingTrie:
         self.terminal[word] = count[node]
         return count[node]
 
+    def count_long(self, word: str) -> int:
+        """As insert, of a word that isn't stored: only the prefixes that a piece can still begin at are kept."""
+        endings, keep = self.endings, self.longest + 1
+        best, count, base = [0.0], [0], 0  # of the prefixes from length `base` on
+        for d, c in enumerate(word, 1):
+            top, least = -1e300, 0
+            if endings.get(c) is None:
+                top, least = best[-1] + self.unknown, count[-1] + (len(c.encode("utf-8", "surrogatepass")) if self.byte_fallback else 1)
+            for back in range(d - 1, max(base, d - keep) - 1, -1):
+                s = endings.get(word[back:d], 1.0)
+                if s is None:
+                    continue
+                if s == 1.0:
+                    break
+                s += best[back - base]
+                if s > top or (s == top and count[back - base] + 1 < least):
+                    top, least = s, count[back - base] + 1
+            best.append(top)
+            count.append(least)
+            if len(best) > 1024 + keep:
+                del best[:1024], count[:1024]
+                base += 1024
+        return count[-1]
+
     def counts(self, words: list[str]) -> int:
-        if len(self.best) > self.nodes:  # bounds memory; the counts are the same with an empty trie
-            self.clear()
-        terminal = self.terminal
-        for w in set(words).difference(terminal):
-            self.insert(w)
-        return sum([terminal[w] for w in words])
+        terminal, fresh = self.terminal, set(words).difference(self.terminal)
+        if len(self.best) + sum(map(len, fresh)) <= self.nodes:
+            for w in fresh:
+                self.insert(w)
+            return sum([terminal[w] for w in words])
+        total = 0
+        for w, n in Counter(words).items():
+            found = self.terminal.get(w)
+            if found is None:
+                if len(w) > LONG:
+                    found = self.count_long(w)
+                else:
+                    if len(self.best) + len(w) > self.nodes:  # bounds memory; the counts are the same with an empty trie
+                        self.clear()
+                    found = self.insert(w)
+            total += n * found
+        return total
 
 
 def count_tokens(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row.
 
     Pre-tokens are the runs between white space, each with the mark of a word's begin.  A text without any, empty or of
-    white space, has 0 of both; a null text has nulls.  Rows keep null and repeated ids; other columns are left out.  Texts
-    are counted whole.  No shuffle: each task shares the trie among the texts that it reads.
+    white space, has 0 of both; a null text has nulls.  Rows keep null and repeated ids; other columns are left out; an empty
+    table gives no rows.  Texts are counted whole, however long; a word too long for the trie is counted beside it.  No shuffle:
+    each task shares the trie among the texts that it reads.
     """
     shared = docs.sparkSession.sparkContext.broadcast((unigram_scores(model), BYTE in model.types))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = 0x184D2A5D
-ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL, DATE = 16 << 20, 64 << 10, 6, "2024-01-01T00:00:00Z"
+ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL, DATE, STEP = 16 << 20, 64 << 10, 6, "2024-01-01T00:00:00Z", 16 << 10
 RESULT = "page_id bigint, archive string, member int, offset bigint, length bigint, frame binary"
 
 
@@ -80,12 +80,16 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             held = zstandard.ZstdDecompressor().decompress(held)
         how["dict_data"] = zstandard.ZstdCompressionDict(held)
     coder = zstandard.ZstdDecompressor(**how)
+    view = memoryview(data)
     while at < len(data):
-        stream = coder.decompressobj()
-        raw = stream.decompress(data[at:])
-        if not stream.eof:
-            raise ValueError(f"the frame at {at} isn't whole")
-        at = len(data) - len(stream.unused_data)
+        stream, begin, parts = coder.decompressobj(), at, []
+        while not stream.eof:
+            if at >= len(data):
+                raise ValueError(f"the frame at {begin} isn't whole")
+            parts.append(stream.decompress(view[at : at + STEP]))
+            at += STEP
+        at = min(at, len(data)) - len(stream.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
@@ -102,7 +106,7 @@ def archive_frames(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Member 0 is the dictionary's frame, 1 the warcinfo record, and the pages follow.  Every row has a record, repeated rows
     too; a null document has an empty block and a mark, a null URL a name by the id.  Archives hold about `archive_bytes` of
     records, of one input split, so that nothing is shuffled; a longer record is whole.  Where the records are too few for a
-    dictionary, member 0 is left out.  Other columns are left out.
+    dictionary, member 0 is left out.  Other columns are left out.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,36 @@ def test_chosen_set_is_the_best_of_the_nested_ones():
         assert np.allclose(got[i], best[2], atol=1e-6)
 
 
+def test_long_texts_are_inferred_as_short_ones():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 50, 400):
+        likely = r.normal(-8, 2, (n, 4)).astype(np.float32)
+        likely[: n // 2, 1] += 4
+        got, words = lang_id.infer_long([likely[k : k + 30] for k in range(0, max(n, 1), 30)])
+        assert words == n and np.allclose(got, lang_id.infer(likely.astype(np.float64), np.array([0, n]))[0], atol=1e-6)
+
+
+def test_the_sample_has_each_text_once_and_few_labels(spark):
+    rows = [("aa bb cc", "x")] * 400 + [(f"dd ee {i}", "y") for i in range(100)] + [("zz", f"odd{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = lang_id.fit(docs, per_language=1000, languages=2)
+    assert model.languages == ("x", "y", "und")
+    want = lang_id.fit(docs.distinct(), per_language=1000, languages=60)
+    assert np.allclose(model.log_p[:, 0], want.log_p[:, want.languages.index("x")])
+
+
+def test_a_text_of_many_megabytes_takes_little_memory():
+    import tracemalloc
+
+    model = lang_id.LanguageModel(("a", "b", "c", "und"), np.random.default_rng(9).normal(-9, 1, (1 << lang_id.BUCKET_BITS, 4)).astype(np.float32))
+    text = pa.array(["mixed words of any language " * 300_000])
+    tracemalloc.start()
+    (_, _, parts, _), = lang_id.word_likelihoods(text, model)
+    assert lang_id.infer_long(parts)[1] == 1_500_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_scores_are_the_factorization_machine(spark):
     r = np.random.default_rng(1)
     slot = np.full(1 << toxicity.TERM_BITS, -1, np.int32)

@@ -177,13 +177,14 @@ def test_counts_equal_a_plain_version_and_a_library(texts):
 def plain_pack(lengths, sizes, cost):
     """Best fit by looking at every open bin."""
     bins = []
-    for n in lengths:
+    for i, n in enumerate(lengths):
         fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= n]
         if fits:
             room = min(fits)[0]
             k = min((k for r, k in fits if r == room), key=lambda k: bins[k]["order"][-1])
         else:
-            size = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / c, c))
+            fill = lambda c: n + min(c - n, sum(m for m in lengths[i + 1 :] if m <= c - n))  # noqa: B023, E731
+            size = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / fill(c), c))
             bins.append({"room": size, "used": 0, "order": []})
             k = len(bins) - 1
         bins[k]["room"] -= n
@@ -218,6 +219,48 @@ def test_packing_query_places_every_token_once(spark):
     assert (spans.groupby("doc_id").start.first() == 0).all()
 
 
+def test_rows_that_share_id_and_length_are_split(spark):
+    docs = spark.createDataFrame([(None, "x" * 9)] * 3000 + [(7, "y" * 40)] * 500 + [(8, "z" * 99)], "doc_id bigint, text string")
+    rows = packing.best_fit_packing(docs, capacities=(16, 64), shard_items=200).toPandas()
+    assert (rows.length.sum(), len(rows)) == (3000 * 10 + 500 * 41 + 100, 3502) and rows.groupby("shard").size().max() < 260
+    bins = rows.groupby(["shard", "bin"]).agg(used=("length", "sum"), size=("bin_size", "first"))
+    assert (bins.used <= bins["size"]).all() and rows.doc_id.isna().sum() == 3000
+    spans = rows.sort_values(["shard", "bin", "offset"])
+    begin = spans.groupby(["shard", "bin"]).length.cumsum() - spans.length
+    assert (begin == spans.offset).all()
+
+
+def test_a_small_size_is_opened_where_nothing_else_fits():
+    _, _, size = packing.pack(np.array([1000] * 3), (1024, 2048), packing.bin_cost)
+    assert sorted(size.tolist()) == [1024, 2048]
+    where, _, size = packing.pack(np.array([1500, 1024]), (1024, 2048), packing.bin_cost)
+    assert where.tolist() == [0, 1] and size.tolist() == [2048, 1024]
+
+
+def test_an_unbroken_word_of_megabytes_takes_little_memory():
+    import tracemalloc
+
+    scores = token_counts.unigram_scores(MODEL)
+    trie = token_counts.CountingTrie(scores, True, nodes=2000)
+    r = random.Random(4)
+    word = "▁" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0189+/漢é") for _ in range(3000))
+    assert trie.count_long(word) == plain_count(word, scores)[1] == token_counts.CountingTrie(scores, True).insert(word)
+    assert trie.counts([word, "▁a", word, *["▁" + word[k : k + 40] for k in range(1, 2500, 40)]]) == token_counts.CountingTrie(scores, True).counts([word, "▁a", word, *["▁" + word[k : k + 40] for k in range(1, 2500, 40)]])
+    long = word * 300
+    tracemalloc.start()
+    assert trie.counts([long]) > 300_000
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_reading_an_archive_is_linear():
+    import time
+
+    data = b"".join(warc.compress_archive("x", [warc.record(k, f"http://a/{k}", random.Random(k).randbytes(3000)) for k in range(2500)]))
+    began = time.process_time()
+    assert len(list(warc.read_archive(data))) == 2501 and time.process_time() - began < 3
+
+
 def test_archives_read_as_plain_zstandard(spark):
     rows = warc.archive_frames(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), archive_bytes=300_000).orderBy("archive", "member").collect()
     want = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
