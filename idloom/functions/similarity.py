@@ -24,11 +24,20 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if a == b:
         return 1.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free, left = list(range(len(b))), []
-    for i, ch in enumerate(a):
-        k = next((k for k, j in enumerate(free) if abs(i - j) <= reach and b[j] == ch), None)
-        if k is not None:
-            left.append((i, free.pop(k)))
+    places: dict[str, list[int]] = {}
+    for j, ch in enumerate(b):
+        places.setdefault(ch, []).append(j)
+    left, begin = [], dict.fromkeys(places, 0)
+    for i, ch in enumerate(a):  # the first free place of the character within reach; those before the reach never come back
+        own = places.get(ch, ())
+        k = begin.get(ch, 0)
+        while k < len(own) and own[k] < i - reach:
+            k += 1
+        if k < len(own) and own[k] <= i + reach:
+            left.append((i, own[k]))
+            k += 1
+        if ch in begin:
+            begin[ch] = k
     if not left:
         return 0.0
     m = len(left)
@@ -71,6 +80,11 @@ def gender(c: Column) -> Column:
     return F.coalesce(known, closest(F.when(known.isNull(), F.regexp_replace(F.upper(c), "[^A-Z]", ""))))
 
 
+gender.costly = True
+#: The normalisers of fields, with the one for genders that knows misspelt words.
+REGISTRY = {k: gender if fn is T.gender_prefix else fn for k, fn in T.REGISTRY.items()}
+
+
 def name_score(a: Column, b: Column) -> Column:
     x, y = F.upper(T.stripped(a)), F.upper(T.stripped(b))
     return 0.3 * jaro_winkler(x, y) + 0.1 * (T.soundex(x) == T.soundex(y)).cast("double") + 0.3 * T.token_jaccard(x, y) + 0.3 * seq_ratio(x, y)

@@ -244,15 +244,16 @@ _NORMALISERS = {
 REGISTRY = {field: fn for fn, fields in _NORMALISERS.items() for field in fields.split()}
 
 
-def normalised(field: Column, value: Column, registry: dict | None = None) -> Column:
-    """The value by its field's normaliser where that gives one, else the value; one expression for all fields."""
+def applied(field: Column, value: Column, registry: dict | None = None) -> Column:
+    """What the field's normaliser makes of the value; null without one, or where it gives nothing.  One expression for all fields."""
     groups: dict = {}
     for key, fn in (registry or REGISTRY).items():
         groups.setdefault(fn, []).append(key)
-    raw, out = stripped(value), None
+    raw, out = stripped(value), F
     for fn, keys in groups.items():
-        out = (F if out is None else out).when(field.isin(keys), fn(raw))
-    return F.when(raw == "", value).otherwise(F.coalesce(F.nullif(out, F.lit("")), value))
+        own = F.when(field.isin(keys), raw) if getattr(fn, "costly", False) else raw  # no Python for other fields' values
+        out = out.when(field.isin(keys), fn(own))
+    return F.when(raw != "", F.nullif(out, F.lit("")))
 
 
 def normalise_key(key: Column) -> Column:

@@ -35,20 +35,10 @@ def best_per_field(rows: DataFrame, by: tuple[str, ...] = ("doc_id",), key: Colu
 
 
 def normalise_fields(rows: DataFrame) -> DataFrame:
-    """Values by their field's normaliser, with source and is_normalized."""
-    new = T.normalised(F.col("field"), F.col("value"))
-    fits = F.col("field").isin(*T.REGISTRY) & (T.stripped(F.col("value")) != "") & _applied(F.col("field"), F.col("value")).isNotNull()
-    return rows.select("*", new.alias("normalized"), F.when(fits, F.concat(F.lit("normalize_"), "field")).alias("source"), fits.alias("is_normalized"))
-
-
-def _applied(field: Column, value: Column) -> Column:
-    groups: dict = {}
-    for key, fn in T.REGISTRY.items():
-        groups.setdefault(fn, []).append(key)
-    out = F
-    for fn, keys in groups.items():
-        out = out.when(field.isin(keys), F.nullif(fn(T.stripped(value)), F.lit("")))
-    return out
+    """Values by their field's normaliser where that gives one, with source and is_normalized."""
+    done = rows.withColumn("normalized", T.applied(F.col("field"), F.col("value"), S.REGISTRY))
+    fits = F.coalesce(F.col("field").isin(*S.REGISTRY) & F.col("normalized").isNotNull(), F.lit(False))
+    return done.select(*rows.columns, F.coalesce("normalized", "value").alias("normalized"), F.when(fits, F.concat(F.lit("normalize_"), "field")).alias("source"), fits.alias("is_normalized"))
 
 
 def merge_fields(primary: DataFrame, secondary: DataFrame, by: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
@@ -203,10 +193,19 @@ def same_keys_only(cleaned: Column, original: Column) -> Column:
 
 
 def vlm_fields(reply: Column) -> Column:
-    """Array of field structs from a JSON object; null where the reply isn't one."""
-    pairs = F.map_entries(F.from_json(reply, "map<string,string>"))
+    """Array of field structs from a JSON object; null where the reply isn't one.
+
+    Values of false, zero and null, and empty strings, lists and objects, become empty; the strings "false", "0" and "null" stay.
+    """
+    pairs = F.map_entries(F.from_json(reply, "map<string,variant>"))
+
+    def text(v: Column) -> Column:
+        kind, plain = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        falsy = (kind == "VOID") | ((kind == "BOOLEAN") & (plain == "false")) | (kind.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (F.try_variant_get(v, "$", "double") == 0)) | (~kind.rlike("^STRING") & plain.isin("[]", "{}"))
+        return F.when(falsy, F.lit("")).when(kind == "BOOLEAN", F.initcap(plain)).otherwise(F.coalesce(plain, F.lit("")))
+
     ok = F.get_json_object(reply, "$").startswith("{")
-    return F.when(ok, F.transform(pairs, lambda e: F.struct(e["key"].alias("field"), F.when(e["value"].isin("false", "0", "null"), "").otherwise(F.coalesce(e["value"], F.lit(""))).alias("value"), F.lit(0.0).alias("det_conf"), F.lit(0.85).alias("ocr_conf"))))
+    return F.when(ok, F.transform(pairs, lambda e: F.struct(e["key"].alias("field"), text(e["value"]).alias("value"), F.lit(0.0).alias("det_conf"), F.lit(0.85).alias("ocr_conf"))))
 
 
 def chosen_rank(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:

@@ -59,9 +59,9 @@ def ring_ratio(magnitude: np.ndarray, low: int = 40, high: int = 180, step: int
     h, w = magnitude.shape
     y, x = np.ogrid[:h, :w]
     radius = np.hypot(y - h // 2, x - w // 2)
-    ring = np.floor((radius - low) / step).astype(int)
+    ring = np.trunc((radius - low) / step).astype(int)  # the first ring reaches inwards too
     n = (high - low) // step
-    inside = (radius >= low) & (ring < n)
+    inside = (radius > low - step) & (ring < n)
     ring, values = ring[inside], magnitude[inside]
     count = np.bincount(ring, minlength=n)
     mean = np.bincount(ring, values, n) / np.maximum(count, 1)
@@ -71,17 +71,36 @@ def ring_ratio(magnitude: np.ndarray, low: int = 40, high: int = 180, step: int
     return float((top[usable] / mean[usable]).max()) if usable.any() else 0.0
 
 
+def transform_size(n: int) -> int:
+    """The least number from n up that has no prime factor but 2, 3 and 5."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m and m % p == 0:
+                m //= p
+        if m <= 1:
+            return n
+        n += 1
+
+
 def screen_trace(gray: np.ndarray, prominent: float = 0.25, ring: float = 1.45) -> dict:
-    """Moire of a photographed screen: a prominent middle frequency, or one that stands out of its ring; five strongest peaks."""
-    magnitude = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(gray.astype(np.float64)))))
-    if gray.size == 0 or magnitude.max() == 0:
-        return {"is_recaptured": False, "moire_score": 0.0, "ring_ratio": 0.0, "peaks": []}
-    m, (h, w) = magnitude / magnitude.max(), gray.shape
+    """Moire of a photographed screen: a prominent middle frequency, or one that stands out of its ring; five strongest peaks.
+
+    The picture is filled up with zeros to sizes that a fast transform likes; frequencies are shares of these sizes.
+    """
+    none = {"is_recaptured": False, "moire_score": 0.0, "ring_ratio": 0.0, "peaks": []}
+    if gray.size == 0:
+        return none
+    h, w = map(transform_size, gray.shape)
+    magnitude = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(gray.astype(np.float64), (h, w)))))
+    if magnitude.max() == 0:
+        return none
+    m = magnitude / magnitude.max()
     y, x = np.ogrid[:h, :w]
     radius = np.hypot(y - h // 2, x - w // 2)
-    band = (radius > min(h, w) // 20) & (radius <= min(h, w) // 4)
+    band = (radius > min(gray.shape) // 20) & (radius <= min(gray.shape) // 4)
     if not band.any():
-        return {"is_recaptured": False, "moire_score": 0.0, "ring_ratio": 0.0, "peaks": []}
+        return none
     v = m[band]
     score = float(np.clip(((v.max() - v.mean()) / max(v.std(), 1e-6) - 4) / 8, 0, 1))
     py, px = np.nonzero(band & (m > max(0.55, v.mean() + 4 * v.std())))
@@ -91,7 +110,7 @@ def screen_trace(gray: np.ndarray, prominent: float = 0.25, ring: float = 1.45)
     return {"is_recaptured": score > prominent or ratio > ring, "moire_score": score, "ring_ratio": ratio, "peaks": peaks}
 
 
-SCHEMA = "id bigint, good boolean, blur_score double, white_ratio double, black_ratio double, reason string, is_recaptured boolean, moire_score double, ring_ratio double"
+SCHEMA = "id bigint, good boolean, blur_score double, white_ratio double, black_ratio double, reason string, is_recaptured boolean, moire_score double, ring_ratio double, peaks array<array<double>>"
 
 
 def analyse(images: DataFrame) -> DataFrame:
@@ -102,12 +121,12 @@ def analyse(images: DataFrame) -> DataFrame:
             rows = []
             for i, data, h, w in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if data is None:
-                    rows.append((i, *[None] * 8))
+                    rows.append((i, *[None] * 9))
                     continue
                 g = gray_of(data, h, w)
                 q, s = quality(g), screen_trace(g)
-                rows.append((i, q["good"], q["blur_score"], q["white_ratio"], q["black_ratio"], q["reason"], s["is_recaptured"], s["moire_score"], s["ring_ratio"]))
-            kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+                rows.append((i, q["good"], q["blur_score"], q["white_ratio"], q["black_ratio"], q["reason"], s["is_recaptured"], s["moire_score"], s["ring_ratio"], s["peaks"]))
+            kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
             names, types = zip(*(c.split() for c in SCHEMA.split(", ")))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], list(names))

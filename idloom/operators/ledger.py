@@ -83,12 +83,30 @@ def diff(chain: DataFrame, a: int, b: int, by: str = "case_id") -> DataFrame:
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+_SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string of ASCII: quotes, backslashes, controls and all beyond ASCII are escaped, in lower-case hexadecimal."""
+    code = lambda ch: F.ascii(ch)
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        n = code(ch)
+        out = F.when(n > 0xFFFF, F.concat(four(F.shiftright(n - 0x10000, 10) + 0xD800), four((n - 0x10000).bitwiseAND(0x3FF) + 0xDC00)))
+        for k, letter in _SHORT.items():
+            out = out.when(n == k, F.lit("\\" + letter))
+        return out.when((n < 32) | (n > 126), four(n)).otherwise(ch)
+
+    s = c.cast("string")
+    return F.concat(F.lit('"'), F.when(s.rlike(r'^[ !#-\[\]-~]*\z'), s).otherwise(F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), escaped), "")), F.lit('"'))
+
+
 def canonical_json(pairs: dict[str, Column]) -> Column:
-    """Compact JSON with sorted keys from columns of strings, numbers and booleans; nulls are null.  Quotes and backslashes are escaped."""
+    """Compact JSON with sorted keys from columns of strings, or, as (column, True), of numbers and booleans; nulls are null."""
 
     def value(c: Column) -> Column:
-        quoted = F.concat(F.lit('"'), F.regexp_replace(c.cast("string"), r'(["\\])', r"\\$1"), F.lit('"'))
-        return F.coalesce(quoted, F.lit("null"))
+        return F.coalesce(json_string(c), F.lit("null"))
 
     parts = []
     for k in sorted(pairs):

@@ -184,10 +184,10 @@ def set_golden_hard(spark, sf_dir):
     return rows.where(good).select("doc_id", F.lit("golden").alias("suite")).unionByName(rows.where(~good).select("doc_id", F.lit("hard").alias("suite")))
 
 
-_FIELDS = "case id % 4 when 0 then 'name' when 1 then 'ifsc_code' when 2 then 'amount_due' else 'other' end as field, case id % 4 when 0 then ' S. 12 Rao' when 1 then 'hdfc0' || lpad(cast(id % 7777 as string), case when id % 3 = 0 then 5 else 6 end, '0') when 2 then 'Rs 1,' || cast(id as string) else ' as is ' end as value"
+_FIELDS = "case id % 4 when 0 then case when id % 8 = 0 then 'gender' else 'name' end when 1 then 'ifsc_code' when 2 then 'amount_due' else 'other' end as field, case id % 4 when 0 then case when id % 24 = 0 then 'AMLE' when id % 24 = 8 then 'Fmale' when id % 24 = 16 then 'xyz' else ' S. 12 Rao' end when 1 then 'hdfc0' || lpad(cast(id % 7777 as string), case when id % 3 = 0 then 5 else 6 end, '0') when 2 then 'Rs 1,' || cast(id as string) else ' as is ' end as value"
 
 
-@query(_customers(_FIELDS) + " SELECT id, field, CASE field WHEN 'name' THEN 'S. Rao' WHEN 'ifsc_code' THEN CASE WHEN length(value) = 11 THEN upper(value) ELSE value END WHEN 'amount_due' THEN substr(value, 4) ELSE value END AS normalized, CASE WHEN field <> 'other' AND (field <> 'ifsc_code' OR length(value) = 11) THEN 'normalize_' || field END AS source FROM v")
+@query(_customers(_FIELDS) + " SELECT id, field, CASE field WHEN 'name' THEN 'S. Rao' WHEN 'gender' THEN CASE value WHEN 'AMLE' THEN 'Male' WHEN 'Fmale' THEN 'Female' ELSE value END WHEN 'ifsc_code' THEN CASE WHEN length(value) = 11 THEN upper(value) ELSE value END WHEN 'amount_due' THEN substr(value, 4) ELSE value END AS normalized, CASE WHEN field <> 'other' AND (field <> 'ifsc_code' OR length(value) = 11) AND value <> 'xyz' THEN 'normalize_' || field END AS source FROM v")
 def fn_normalize_dispatch(spark, sf_dir):
     return extraction.normalise_fields(of_customers(spark, sf_dir, _FIELDS)).select("id", "field", "normalized", "source")
 
@@ -231,15 +231,16 @@ for _name, _fn, _cols in (
     QUERIES[_name] = _scored(_fn, _cols)
 
 
-@query("SELECT c_custkey AS id, '{\"a\":\"' || c_mktsegment || '\",\"key\":' || cast(c_custkey AS string) || ',\"none\":null}' AS result FROM customer")
+@query(r"""SELECT c_custkey AS id, '{"a":"' || c_mktsegment || '\u00e9\n\t\"q\\\u0001\u6f22\ud83c\udf89","key":' || cast(c_custkey AS string) || ',"none":null}' AS result FROM customer""")
 def fn_canonical_json(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ledger.canonical_json({"none": F.lit(None).cast("string"), "key": (F.col("c_custkey"), True), "a": F.col("c_mktsegment")}).alias("result"))
+    odd = F.concat("c_mktsegment", F.lit('é\n\t"q\\\x01漢🎉'))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ledger.canonical_json({"none": F.lit(None).cast("string"), "key": (F.col("c_custkey"), True), "a": odd}).alias("result"))
 
 
-_REPLIES = "case id % 4 when 0 then '{\"name\": \"N' || cast(id as string) || '\", \"dob\": null}' when 1 then 'not json' when 2 then '[1]' else '{}' end as a"
+_REPLIES = """case id % 4 when 0 then '{"name": "N' || cast(id as string) || '", "dob": null, "a": "0", "b": "false", "c": 0, "d": true, "e": [], "f": 7.5}' when 1 then 'not json' when 2 then '[1]' else '{}' end as a"""
 
 
-@query(_customers(_REPLIES) + " SELECT id, f AS field, CASE f WHEN 'name' THEN 'N' || cast(id AS string) ELSE '' END AS value, 0.85 AS conf FROM v, (SELECT 'name' AS f UNION ALL SELECT 'dob') WHERE id % 4 = 0")
+@query(_customers(_REPLIES) + " SELECT id, f AS field, CASE f WHEN 'name' THEN 'N' || cast(id AS string) WHEN 'a' THEN '0' WHEN 'b' THEN 'false' WHEN 'd' THEN 'True' WHEN 'f' THEN '7.5' ELSE '' END AS value, 0.85 AS conf FROM v, (SELECT unnest(['name', 'dob', 'a', 'b', 'c', 'd', 'e', 'f']) AS f) WHERE id % 4 = 0")
 def fn_vlm_fields(spark, sf_dir):
     rows = of_customers(spark, sf_dir, _REPLIES).select("id", F.explode(extraction.vlm_fields(F.col("a"))).alias("f"))
     return rows.select("id", "f.field", "f.value", F.col("f.ocr_conf").alias("conf"))
@@ -313,7 +314,7 @@ def img_quality(spark, sf_dir):
     html = F.encode("html", "utf-8")
     rows = F.ceil(F.length(html) / 64).cast("int")
     full = F.rpad(html, rows * 64, F.unhex(F.lit("00")))
-    return images.analyse(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), full.alias("gray"), rows.alias("height"), F.lit(64).alias("width")).where("height > 0"))
+    return images.analyse(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), full.alias("gray"), rows.alias("height"), F.lit(64).alias("width")))
 
 
 QUERIES["img_screen"] = img_quality

@@ -16,15 +16,43 @@ def read_blobs(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_bytes(spark: SparkSession, root: str, job_id: str, blob: bytes) -> str:
+    """Write one upload as input.bin of its job's folder; returns its address."""
+    fs, at = _file_system(spark, f"{root}/{job_id}/input.bin")
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(blob))
+    finally:
+        out.close()
+    return fs.makeQualified(at).toString()
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """Overwrite as a whole: the commit protocol shows either the old files or the new."""
-    df.write.mode("overwrite").json(path)
+    """Overwrite as a whole: written beside the path and renamed over it, so that a failed write leaves the old files.
+
+    Between the two renames nothing is at the path; the old files are then beside it, at path.old.
+    """
+    made, old = f"{path}.tmp", f"{path}.old"
+    df.write.mode("overwrite").json(made)
+    fs, at = _file_system(df.sparkSession, path)
+    new, aside = (df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (made, old))
+    fs.delete(aside, True)
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, at):
+        raise OSError(f"can't rename {made}")
+    fs.delete(aside, True)
 
 
 def read_json_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """No rows where there is nothing at the path."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
