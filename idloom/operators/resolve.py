@@ -37,9 +37,17 @@ def resolve_names(names: DataFrame, by: str = "case_id") -> DataFrame:
     return out.withColumn("is_same_person", F.col("match_score") >= 0.65)
 
 
+def date_key(c: Column) -> Column:
+    """Two values have one key just if dates_match holds: the date, or the text of what is none."""
+    return F.coalesce(T.parse_date(c).cast("string"), F.concat(F.lit("text "), T.stripped(c)))
+
+
 def resolve_dates(dates: DataFrame, by: str = "case_id") -> DataFrame:
-    """Per case with two dates or more: how many pairs differ."""
-    return pairs(dates, by).groupBy(by).agg(F.sum((~T.dates_match(F.col("a.value"), F.col("b.value"))).cast("int")).alias("mismatches")).withColumn("match", F.col("mismatches") == 0)
+    """Per case with two dates or more: how many pairs differ.  Counted from how often each date occurs, so no pair is made."""
+    counted = dates.select(by, date_key(F.col("value")).alias("key")).groupBy(by, "key").agg(F.count("*").alias("n"))
+    of_pairs = lambda n: n * (n - 1) / 2
+    per = counted.groupBy(by).agg(F.sum("n").alias("n"), F.sum(of_pairs(F.col("n"))).alias("same")).where("n > 1")
+    return per.select(by, (of_pairs(F.col("n")) - F.col("same")).cast("bigint").alias("mismatches")).withColumn("match", F.col("mismatches") == 0)
 
 
 def resolve_addresses(addresses: DataFrame, by: str = "case_id") -> DataFrame:
@@ -49,30 +57,50 @@ def resolve_addresses(addresses: DataFrame, by: str = "case_id") -> DataFrame:
     return addresses.select(by).distinct().join(mean, by, "left").fillna({"address_score": 1.0})
 
 
+def _several(packet: DataFrame) -> DataFrame:
+    """The fields of cases with two documents or more."""
+    many = packet.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id")
+    return explode_packet(packet.join(many, "case_id", "left_semi"))
+
+
+def _name_rows(long: DataFrame) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, NAME_KEYS)), F.col("field"))
+    return long.where(F.col("field").isin(*NAME_KEYS)).select("case_id", (F.col("ordinal") * 10 + place).alias("ordinal"), "value")
+
+
+def _genders(long: DataFrame) -> DataFrame:
+    return long.where("field = 'gender'").groupBy("case_id").agg(F.sort_array(F.collect_set(F.upper("value"))).alias("seen")).where(F.size("seen") > 1)
+
+
 def contradictions(packet: DataFrame) -> DataFrame:
     """(case_id, type, severity, detail) of every contradiction in maps of fields.
 
     All six kinds of name are compared with each other, those of one document too.  One document alone has none.
     """
-    many = packet.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id")
-    long = explode_packet(packet.join(many, "case_id", "left_semi"))
-    place = F.array_position(F.array(*map(F.lit, NAME_KEYS)), F.col("field"))
-    names = long.where(F.col("field").isin(*NAME_KEYS)).select("case_id", (F.col("ordinal") * 10 + place).alias("ordinal"), "value")
-    scored = pairs(names).select("case_id", F.upper(T.stripped(F.col("a.value"))).alias("x"), F.upper(T.stripped(F.col("b.value"))).alias("y"), S.name_score(F.col("a.value"), F.col("b.value")).alias("score"))
+    long = _several(packet)
+    scored = pairs(_name_rows(long)).select("case_id", F.upper(T.stripped(F.col("a.value"))).alias("x"), F.upper(T.stripped(F.col("b.value"))).alias("y"), S.name_score(F.col("a.value"), F.col("b.value")).alias("score"))
     detail = F.concat_ws(" vs ", "x", "y").alias("detail")
     by_name = scored.where("score < 0.85").select("case_id", F.lit("name_mismatch").alias("type"), F.when(F.col("score") < 0.7, "HIGH").otherwise("MEDIUM").alias("severity"), detail)
-    dates = pairs(long.where("field = 'date_of_birth'").select("case_id", "ordinal", "value"))
-    by_date = dates.where(~T.dates_match(F.col("a.value"), F.col("b.value"))).select("case_id", F.lit("dob_mismatch").alias("type"), F.lit("CRITICAL").alias("severity"), F.concat_ws(" vs ", T.stripped(F.col("a.value")), T.stripped(F.col("b.value"))).alias("detail"))
-    genders = long.where("field = 'gender'").groupBy("case_id").agg(F.sort_array(F.collect_set(F.upper("value"))).alias("seen")).where(F.size("seen") > 1)
-    by_gender = genders.select("case_id", F.lit("gender_mismatch").alias("type"), F.lit("HIGH").alias("severity"), F.concat(F.lit("Conflicting genders: "), F.array_join("seen", ", ")).alias("detail"))
+    dates = pairs(long.where("field = 'date_of_birth'").select("case_id", "ordinal", "value", date_key(F.col("value")).alias("key")))
+    by_date = dates.where("a.key <> b.key").select("case_id", F.lit("dob_mismatch").alias("type"), F.lit("CRITICAL").alias("severity"), F.concat_ws(" vs ", T.stripped(F.col("a.value")), T.stripped(F.col("b.value"))).alias("detail"))
+    by_gender = _genders(long).select("case_id", F.lit("gender_mismatch").alias("type"), F.lit("HIGH").alias("severity"), F.concat(F.lit("Conflicting genders: "), F.array_join("seen", ", ")).alias("detail"))
     return by_name.unionByName(by_date).unionByName(by_gender)
 
 
 def consistency(packet: DataFrame) -> DataFrame:
-    """Per case: issues, consistency_score, recommendation."""
+    """Per case: issues, consistency_score, recommendation.
+
+    The issues are those that contradictions lists.  Only names are compared in pairs, of distinct values in the order that they
+    come in; pairs of dates are counted.
+    """
     checked = F.col("field").isin(*NAME_KEYS, "date_of_birth", "gender")
     checks = explode_packet(packet).groupBy("case_id").agg(F.sum(checked.cast("int")).alias("checks"))
-    issues = contradictions(packet).groupBy("case_id").agg(F.count("*").alias("issues"), F.max((F.col("severity") == "CRITICAL").cast("int")).alias("critical"))
+    long = _several(packet)
+    of_case = pairs(_name_rows(long)).groupBy("case_id", F.col("a.value").alias("x"), F.col("b.value").alias("y")).agg(F.count("*").alias("n"))
+    by_name = of_case.where(S.name_score(F.col("x"), F.col("y")) < 0.85).select("case_id", "n", F.lit(0).alias("critical"))
+    by_date = resolve_dates(long.where("field = 'date_of_birth'")).where("mismatches > 0").select("case_id", F.col("mismatches").alias("n"), F.lit(1).alias("critical"))
+    by_gender = _genders(long).select("case_id", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("critical"))
+    issues = by_name.unionByName(by_date).unionByName(by_gender).groupBy("case_id").agg(F.sum("n").alias("issues"), F.max("critical").alias("critical"))
     out = packet.select("case_id").distinct().join(checks, "case_id", "left").join(issues, "case_id", "left").fillna(0)
     score = F.greatest(F.lit(0.0), 1 - F.col("issues") / F.greatest(F.lit(1), F.col("checks")))
     return out.select("case_id", "issues", score.alias("consistency_score"), F.when(F.col("critical") > 0, "REJECT").when(F.col("issues") > 0, "REVIEW").otherwise("PASS").alias("recommendation"))

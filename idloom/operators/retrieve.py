@@ -32,20 +32,19 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 
     corpus: (id, text); queries: (query_id, text).  Words are what white space parts, in lower case.  A word of negative idf
     gets epsilon of the mean idf.  Words of a query count as often as they occur in it.  The statistics are those of the whole
-    corpus; only words that a query asks for are joined back.
+    corpus, counted within each task first; of a document only the words that a query asks for are kept.
     """
-    words = lambda df, key: df.select(key, F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
-    tf = words(corpus, "id").groupBy("id", "word").agg(F.count("*").alias("tf"))
-    lengths = corpus.select("id", F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("dl"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    split = lambda df, *keys: df.select(*keys, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+    docs = split(corpus, "id").select("id", "w", F.size("w").alias("dl"))
+    size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    raw = docs.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean"))  # one row
-    idf = raw.crossJoin(F.broadcast(mean)).select("word", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    asked = words(queries, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("qf"))
-    wanted = idf.join(asked.select("word").distinct(), "word", "left_semi")
-    hits = tf.join(wanted, "word").join(lengths, "id")
+    asked = split(queries, "query_id").select("query_id", F.explode("w").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("qf"))
+    words = asked.select("word").distinct()
+    wanted = raw.join(words, "word", "left_semi").crossJoin(F.broadcast(mean)).select("word", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    tf = docs.select("id", "dl", F.explode("w").alias("word")).join(words, "word", "left_semi").groupBy("id", "dl", "word").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.select("id", "word", weight.alias("w")).join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    return tf.join(wanted, "word").select("id", "word", weight.alias("w")).join(asked, "word").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
 def top_hits(hits: DataFrame, k: int, positive: bool = False) -> DataFrame:
