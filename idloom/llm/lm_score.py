@@ -116,12 +116,12 @@ def features(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _class_rows(keys: np.ndarray, n: int) -> np.ndarray:
-    return (keys % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    return (keys & np.uint64(n - 1)).astype(np.intp)
 
 
 def _word_rows(keys: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
-    g = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) + nodes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)) % np.uint64(n)
-    return g.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    g = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) + nodes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)) & np.uint64(n - 1)
+    return g.astype(np.intp)
 
 
 def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
@@ -145,52 +145,60 @@ def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None)
     return place, node, taken, tree.log_prior[tail] if len(tail) else None
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-    score = table[rows[0]]
-    for r in rows[1:]:
-        score += table[r]
-    if prior is not None:
-        score[-len(prior) :] += prior
-    score -= score.max(axis=1, keepdims=True)
-    np.exp(score, out=score)
-    score /= score.sum(axis=1, keepdims=True)
-    return score
+def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None, chunk: int = 4096) -> np.ndarray:
+    """Probabilities of the choices at each position; in chunks that stay in the cache."""
+    out = np.empty((rows.shape[1], table.shape[1]), np.float32)
+    more, begin = np.empty((min(chunk, len(out)), table.shape[1]), np.float32), len(out) - (0 if prior is None else len(prior))
+    for at in range(0, len(out), chunk):
+        score = out[at : at + chunk]
+        np.take(table, rows[0, at : at + chunk], axis=0, out=score, mode="clip")
+        for r in rows[1:]:
+            score += np.take(table, r[at : at + chunk], axis=0, out=more[: len(score)], mode="clip")
+        if prior is not None and at + len(score) > begin:
+            k = max(at, begin)
+            score[k - at :] += prior[k - begin : at + len(score) - begin]
+        score -= score.max(axis=1, keepdims=True)
+        np.exp(score, out=score)
+        score /= score.sum(axis=1, keepdims=True)
+    return out
 
 
 def _step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, p: np.ndarray, gold: np.ndarray, rate: float) -> None:
     """AdaGrad by row on one batch: the gradient of a row is the sum of p - 1[gold] over the positions that use it."""
-    p[np.arange(len(gold)), gold] -= 1
+    p.reshape(-1)[np.arange(len(gold)) * p.shape[1] + gold] -= 1
+    room = np.empty_like(p)
     for r in rows:
         if r[0] == r[-1] and (r == r[0]).all():
             at, n, g = r[:1], np.array([len(r)]), p.sum(axis=0, keepdims=True)
         else:
-            at, n, g = _sum_by_row(r, p)
-        squares[at] += np.einsum("ij,ij->i", g, g)
-        g *= (rate / np.sqrt(squares[at] + 1e-6))[:, None]
-        table[at] -= g
+            at, n, g = _sum_by_row(r, p, room)
+        now = squares[at] + np.einsum("ij,ij->i", g, g)
+        squares[at] = now
+        g *= (rate / np.sqrt(now + 1e-6))[:, None]
+        held = np.take(table, at, axis=0)
+        held -= g
+        table[at] = held
         touched[at] += n
 
 
-def _sum_by_row(r: np.ndarray, p: np.ndarray, short: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, positions of each, sums of their p).  Short groups are added place by place, far faster than reduceat."""
-    if r.dtype == np.uint16:
-        order = np.argsort(r, kind="stable")
-    else:  # two radix sorts are faster than one sort by comparison
-        order = np.argsort(r.astype(np.uint16), kind="stable")
+def _sum_by_row(r: np.ndarray, p: np.ndarray, room: np.ndarray, short: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, positions of each, sums of their p).  Rows of few positions are added place by place."""
+    order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")  # two radix sorts are faster than one sort by comparison
+    if len(r) and int(r.max()) > 0xFFFF:
         order = order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
     sorted_rows = r[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     n = np.diff(np.append(first, len(r)))
-    g = p[order[first]]
+    held = np.take(p, order, axis=0, out=room, mode="clip")
+    total = np.take(held, first, axis=0)
+    some = np.flatnonzero((n > 1) & (n <= short))
     for k in range(1, short):
-        m = np.flatnonzero((n > k) & (n <= short))
-        if not len(m):
-            break
-        g[m] += p[order[first[m] + k]]
-    if len(m := np.flatnonzero(n > short)):
-        long = np.repeat(n > short, n)
-        g[m] = np.add.reduceat(p[order[long]], np.concatenate([[0], np.cumsum(n[m])[:-1]]), axis=0)
-    return sorted_rows[first], n, g
+        some = some[n[some] > k]
+        total[some] += np.take(held, first[some] + k, axis=0)
+    if len(many := np.flatnonzero(n > short)):
+        cuts = np.stack([first[many], first[many] + n[many]], axis=1).ravel()
+        total[many] = np.add.reduceat(held, cuts[:-1] if cuts[-1] == len(held) else cuts, axis=0)[::2]
+    return sorted_rows[first], n, total
 
 
 def symbol_batches(texts: pa.Array, model: MaxentModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
