@@ -58,20 +58,22 @@ class KeyFilter:
             bits[k] = np.frombuffer(row, np.uint8)
         self.shared = self.spark.sparkContext.broadcast(bits.ravel())
 
-    def holds(self, hashes: Column) -> Column:
-        """True for every key that the filter was made of, and for few others.  A null hash isn't held."""
-        if not self.n:
+    def holds(self, hashes: Column, also: KeyFilter | None = None) -> Column:
+        """True for every key that the filter was made of, and that `also` holds if given, and for few others.  A null hash isn't held."""
+        filters = [self] if also is None else [self, also]
+        if not all(f.n for f in filters):
             return F.lit(False)
-        shared, blocks, size = self.shared, self.blocks, self.block_bits
+        held_by = [(f.shared, f.blocks, f.block_bits) for f in filters]
 
         @F.arrow_udf("boolean")
         def held(keys: pa.Array) -> pa.Array:
-            bits = shared.value
-            at = positions(keys.fill_null(0).to_numpy(zero_copy_only=False), blocks, size)
-            out = np.ones(len(at), dtype=bool)
-            for p in range(PROBES):
-                out &= (bits[at[:, p] >> 3] >> (at[:, p] & 7).astype(np.uint8) & 1).astype(bool)
-            return pa.array(out & ~keys.is_null().to_numpy(zero_copy_only=False))
+            hashed = keys.fill_null(0).to_numpy(zero_copy_only=False)
+            out = ~keys.is_null().to_numpy(zero_copy_only=False)
+            for shared, blocks, size in held_by:
+                bits, at = shared.value, positions(hashed, blocks, size)
+                for p in range(PROBES):
+                    out &= (bits[at[:, p] >> 3] >> (at[:, p] & 7).astype(np.uint8) & 1).astype(bool)
+            return pa.array(out)
 
         return held(hashes)
 
@@ -91,13 +93,13 @@ def without(docs: DataFrame, keys: Sequence[Column], gone: DataFrame, have: Data
     met = have.where(first.holds(F.xxhash64(*names))).alias("h")
     same = [F.col(f"h.{n}").eqNullSafe(F.col(f"g.{n}")) for n in names]
     stay = met.join(gone.alias("g"), same, "left_anti")
-    second = KeyFilter(stay.select(F.xxhash64(*names)))
+    second = KeyFilter(stay.select(F.xxhash64(*names).alias("h")).distinct())  # shuffled: no task runs two Python workers
     inner = [unused(f"__key{k}", docs) for k in range(len(names))]
     hashed = F.xxhash64(*keys)
     sure = docs.where(~first.holds(hashed))
     if not second.n:
         return sure
-    doubt = docs.withColumns(dict(zip(inner, keys))).where(first.holds(F.xxhash64(*inner))).where(second.holds(F.xxhash64(*inner)))
+    doubt = docs.withColumns(dict(zip(inner, keys))).where(first.holds(F.xxhash64(*inner), second))
     right = gone.toDF(*[f"{n}_gone" for n in inner]).distinct()
     rest = doubt.join(right, [F.col(n).eqNullSafe(F.col(f"{n}_gone")) for n in inner], "left_anti").drop(*inner)
     return sure.unionByName(rest)

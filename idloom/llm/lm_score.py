@@ -181,7 +181,7 @@ def _step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.
         touched[at] += n
 
 
-def _sum_by_row(r: np.ndarray, p: np.ndarray, room: np.ndarray, short: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sum_by_row(r: np.ndarray, p: np.ndarray, room: np.ndarray | None = None, short: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, positions of each, sums of their p).  Rows of few positions are added place by place."""
     order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")  # two radix sorts are faster than one sort by comparison
     if len(r) and int(r.max()) > 0xFFFF:

@@ -261,9 +261,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Equal signatures need no banding: their smallest id stands for all of them.
     whole = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.table(signed.select("id", "h1", "h2").join(whole, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), "h1"), "copies")
-    alone = without(signed, [F.col("id"), F.col("h1")], copies.select(F.col("b").alias("id"), "h1"))
+    alone = scratch.table(without(signed, [F.col("id"), F.col("h1")], copies.select(F.col("b").alias("id"), "h1")), "alone")
+    scratch.drop("signed")
     edges = scratch.table(bucket_pairs(alone, need, hashes, scratch).unionByName(copies.select("a", "b")), "edges")
-    scratch.drop("copies", "signed", "members", "met")
+    scratch.drop("copies", "alone", "members", "met")
     groups = connected_components(spark, edges, scratch)
     scratch.drop("edges")
     return groups
