@@ -51,6 +51,21 @@ def people(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return named.select("id", F.concat_ws(" ", "given", "surname").alias("name"), "surname", F.concat_ws(" ", "father", "surname").alias("father_name"), "gender", F.date_format(day, "dd/MM/yyyy").alias("date_of_birth"), pan.alias("pan_number"), F.concat_ws(" ", F.substring(twelve, 1, 4), F.substring(twelve, 5, 4), F.substring(twelve, 9, 4)).alias("aadhaar_number"), dl.alias("dl_number"))
 
 
+def legacy_set(spark: SparkSession, pans: int, aadhaars: int, seed: int) -> DataFrame:
+    """The second generator's manifest: (id, doc_type, status_code, number, image_filename, label_filename), PAN cards first.
+
+    The fourth letter of a PAN tells whose it is, by the weights of STATUS_WEIGHTS; an Aadhaar number has no status.
+    """
+    k = [F.col("n"), F.lit(seed), F.lit("legacy")]
+    digits = lambda w, m, tag: F.lpad(draw(m, *k, tag).cast("string"), w, "0")
+    is_pan, status = F.col("n") < pans, weighted(STATUS_WEIGHTS, *k, "status")
+    pan = F.concat(letter(*k, 1), letter(*k, 2), letter(*k, 3), status, letter(*k, 4), digits(4, 10_000, "p"), letter(*k, 5))
+    body = F.concat((draw(8, *k, "a1") + 2).cast("string"), digits(10, 10**10, "a2"))
+    name = F.lpad((F.col("n") + 1).cast("string"), 6, "0")
+    rows = spark.range(pans + aadhaars).withColumnRenamed("id", "n")
+    return rows.select(name.alias("id"), F.when(is_pan, "PAN").otherwise("AADHAAR").alias("doc_type"), F.when(is_pan, status).alias("status_code"), F.when(is_pan, pan).otherwise(F.concat(body, verhoeff_digit(body))).alias("number"), F.concat(name, F.lit(".jpg")).alias("image_filename"), F.concat(name, F.lit(".json")).alias("label_filename"))
+
+
 def attacks(documents: DataFrame, per_doc: int = 1, severity: str = "mixed", seed: int = 1) -> DataFrame:
     """Labels of forgeries: every document under every attack."""
     named = documents.crossJoin(F.broadcast(documents.sparkSession.createDataFrame([(a, k) for a in ATTACKS for k in range(per_doc)], "attack string, k int")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +19,28 @@ def event_hash(previous: Column, payload: Column) -> Column:
 def append(events: DataFrame, by: str = "case_id", order: str = "ordinal") -> DataFrame:
     """Chain each case's events: (case, sequence, event_type, payload, event_hash, prev_hash).
 
-    Payloads are canonical JSON strings and stay as they are.  The fold runs over the sorted events of a case, cases in
-    parallel.
+    Payloads are canonical JSON strings and stay as they are; after a null one the rest of its case has no hashes.  The events of
+    a task's cases stream by in order, with only the last hash kept, so that a case may be of any length.
     """
-    sorted_ = F.array_sort(F.collect_list(F.struct(order, "event_type", "payload")))
-    chain = F.aggregate(F.col("e"), F.array(F.lit(GENESIS)), lambda acc, x: F.concat(acc, F.array(event_hash(F.element_at(acc, -1), x["payload"]))))
-    flat = events.groupBy(by).agg(sorted_.alias("e")).withColumn("h", chain)
-    rows = flat.select(by, F.posexplode("e").alias("sequence", "x"), "h")
-    return rows.select(by, "sequence", "x.event_type", "x.payload", F.get("h", F.col("sequence") + 1).alias("event_hash"), F.get("h", F.col("sequence")).alias("prev_hash"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, n, head, begun = None, 0, GENESIS, False
+        for batch in batches:
+            places, new, old = [], [], []
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or key != case:
+                    case, n, head, begun = key, 0, GENESIS, True
+                places.append(n)
+                old.append(head)
+                head = None if head is None or payload is None else hashlib.sha256(f"{head}||{payload}".encode()).hexdigest()
+                new.append(head)
+                n += 1
+            made = [pa.array(places, pa.int32()), batch.column(1), batch.column(2), pa.array(new, pa.string()), pa.array(old, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [by, "sequence", "event_type", "payload", "event_hash", "prev_hash"])
+
+    kind = events.schema[by].dataType.simpleString()
+    rows = events.repartition(by).sortWithinPartitions(by, order, "event_type", "payload").select(by, "event_type", "payload")
+    return rows.mapInArrow(chain, f"`{by}` {kind}, sequence int, event_type string, payload string, event_hash string, prev_hash string")
 
 
 def verify(chain: DataFrame, by: str = "case_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from idloom.functions import similarity as S
 from idloom.functions import text as T
-from idloom.operators import decide, evaluate, extraction, generate, images, learn, ledger, resolve
+from idloom.operators import decide, evaluate, extraction, generate, images, learn, ledger, pictures, resolve
 from idloom.plans.scalars import ADDRESS, DAY, PAN, SCALARS
 from idloom.plans.tables import fixture, read, with_fixtures
 from idloom.streaming import cases
@@ -172,10 +172,10 @@ def set_except_unexpected(spark, sf_dir):
     return _two_maps(spark, sf_dir).select("id", F.array_join(F.sort_array(F.array_intersect(F.map_keys("l"), F.array(*map(F.lit, ("gender", "name", "dob", "address"))))), ",").alias("wrong"))
 
 
-@query("SELECT 'pan' AS doc_type, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'aadhaar', o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT 'pan' AS doc_type, o_orderkey AS id FROM orders UNION ALL SELECT 'aadhaar', l_orderkey FROM lineitem")
 def set_union_results(spark, sf_dir):
-    run = lambda kind, n: read(spark, sf_dir, "orders").where(F.col("o_orderkey") % n == 0).select(F.lit(kind).alias("doc_type"), F.col("o_orderkey").alias("id"))
-    return run("pan", 3).unionByName(run("aadhaar", 2))
+    run = lambda kind, table, key: read(spark, sf_dir, table).select(F.lit(kind).alias("doc_type"), F.col(key).alias("id"))
+    return run("pan", "orders", "o_orderkey").unionByName(run("aadhaar", "lineitem", "l_orderkey"))
 
 
 @query(with_fixtures("cases") + " SELECT doc_id, CASE WHEN quality_passed AND is_valid THEN 'golden' ELSE 'hard' END AS suite FROM cases")
@@ -297,8 +297,34 @@ def gen_identity(spark, sf_dir):
     return generate.people(spark, read(spark, sf_dir, "customer").count(), 42)
 
 
-for _alias in ("gen_person", "gen_pan", "gen_aadhaar", "gen_dl", "src_synth"):
-    QUERIES[_alias] = gen_identity
+QUERIES["src_synth"] = gen_identity
+
+
+def _checked(column: str, valid: Callable[[], Column]) -> Query:
+    """Every identity's number of one kind, and whether it keeps that kind's rules."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return gen_identity(spark, sf_dir).select("id", valid().alias("valid"), (F.length(column) > 0).alias("filled"))
+
+    return run
+
+
+for _name, _column, _valid in (
+    ("gen_person", "name", lambda: F.col("name").endswith(F.col("surname")) & F.col("gender").isin("Male", "Female") & T.parse_date(F.col("date_of_birth")).isNotNull()),
+    ("gen_pan", "pan_number", lambda: F.col("pan_number").rlike(r"^[A-Z]{3}P[A-Z][0-9]{4}[A-Z]\z") & (F.substring("pan_number", 5, 1) == F.substring("surname", 1, 1))),
+    ("gen_aadhaar", "aadhaar_number", lambda: F.col("aadhaar_number").rlike(r"^[2-9][0-9]{3} [0-9]{4} [0-9]{4}\z") & T.verhoeff_valid(F.translate("aadhaar_number", " ", ""))),
+    ("gen_dl", "dl_number", lambda: F.col("dl_number").rlike(r"^(" + "|".join(generate.RTO_STATES) + r")[0-9]{2} 20[0-2][0-9][0-9]{7}\z")),
+):
+    QUERIES[_name], SQL[_name] = _checked(_column, _valid), "SELECT c_custkey - min(c_custkey) OVER () AS id, true AS valid, true AS filled FROM customer"
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT unnest(range(1, 2 * n + 1)) AS k, n FROM n) SELECT lpad(cast(k AS string), 6, '0') AS id, CASE WHEN k <= n THEN 'PAN' ELSE 'AADHAAR' END AS doc_type, lpad(cast(k AS string), 6, '0') || '.jpg' AS image_filename, k <= n AS has_status, true AS valid FROM r")
+def gen_legacy(spark, sf_dir):
+    """As many cards of each kind as there are customers."""
+    n = read(spark, sf_dir, "customer").count()
+    pan = F.col("number").rlike(r"^[A-Z]{3}[PCHFAT][A-Z][0-9]{4}[A-Z]\z") & (F.substring("number", 4, 1) == F.col("status_code"))
+    valid = F.when(F.col("doc_type") == "PAN", pan).otherwise(F.col("number").rlike(r"^[2-9][0-9]{11}\z") & T.verhoeff_valid(F.col("number")))
+    return generate.legacy_set(spark, n, n, 42).select("id", "doc_type", "image_filename", F.col("status_code").isNotNull().alias("has_status"), valid.alias("valid"))
 
 
 @query("SELECT c_custkey % 2 = 0 AS even, attack, count(*) AS n FROM customer, (SELECT unnest(['copy_move', 'exif_edit', 'screen_recapture', 'text_splice', 'font_swap', 'regenerate']) AS attack) GROUP BY 1, 2")
@@ -308,13 +334,53 @@ def gen_tamper(spark, sf_dir):
     return made.groupBy((F.col("source_id").cast("bigint") % 2 == 0).alias("even"), "attack").agg(F.count("*").alias("n"))
 
 
-@query()
-def img_quality(spark, sf_dir):
-    """Each page's bytes as the pixels of a picture of 64 columns, the last row filled up with zeros."""
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's bytes as the pixels of a picture of 64 columns, the last row filled up with zeros; an empty page has no rows."""
     html = F.encode("html", "utf-8")
     rows = F.ceil(F.length(html) / 64).cast("int")
     full = F.rpad(html, rows * 64, F.unhex(F.lit("00")))
-    return images.analyse(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), full.alias("gray"), rows.alias("height"), F.lit(64).alias("width")))
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), full.alias("gray"), rows.alias("height"), F.lit(64).alias("width"))
+
+
+@query()
+def img_quality(spark, sf_dir):
+    return images.analyse(_pictures(spark, sf_dir)).select("id", "good", "blur_score", "white_ratio", "black_ratio", "reason")
+
+
+@query()
+def img_screen(spark, sf_dir):
+    return images.analyse(_pictures(spark, sf_dir)).select("id", "is_recaptured", "moire_score", "ring_ratio")
+
+
+@query()
+def topk_freq(spark, sf_dir):
+    """The five strongest peaks of every picture."""
+    found = images.analyse(_pictures(spark, sf_dir)).select("id", F.posexplode("peaks").alias("rank", "p"))
+    return found.select("id", "rank", F.col("p")[0].alias("freq_x"), F.col("p")[1].alias("freq_y"), F.col("p")[2].alias("magnitude"))
+
+
+@query()
+def img_ela(spark, sf_dir):
+    found = pictures.error_levels(_pictures(spark, sf_dir))
+    return found.select("id", F.round("ela_score", 9).alias("ela_score"), F.size("suspicious_regions").alias("regions"))
+
+
+@query()
+def img_copy_move(spark, sf_dir):
+    return pictures.copy_moves(_pictures(spark, sf_dir))
+
+
+@query()
+def img_font_signature(spark, sf_dir):
+    return pictures.font_signatures(_pictures(spark, sf_dir))
 
 
-QUERIES["img_screen"] = img_quality
+@query()
+def topk_ink(spark, sf_dir):
+    return pictures.inkiest_lines(_pictures(spark, sf_dir))
+
+
+@query()
+def gen_augment(spark, sf_dir):
+    made = pictures.augment(_pictures(spark, sf_dir))
+    return made.select("id", "height", "width", F.array_join("applied", ",").alias("applied"), F.sha2("gray", 256).alias("digest"))

@@ -93,10 +93,10 @@ def agg_best_field(spark, sf_dir):
     return best.select("doc_id", "field", "text", F.round(extraction.confidence(), 6).alias("score"))
 
 
-@query(with_fixtures("candidates") + " SELECT doc_id, lower(field) AS field, max(round(det_conf / 2 + ocr_conf / 2, 6)) AS score FROM candidates GROUP BY 1, 2")
+@query(with_fixtures("candidates") + " SELECT doc_id, field, text, round(c, 6) AS score FROM (SELECT doc_id, lower(field) AS field, text, det_conf / 2 + ocr_conf / 2 AS c, row_number() OVER (PARTITION BY doc_id, lower(field) ORDER BY det_conf / 2 + ocr_conf / 2 DESC, ordinal) AS r FROM candidates) WHERE r = 1")
 def agg_ocr_collapse(spark, sf_dir):
     best = extraction.best_per_field(fixture(spark, sf_dir, "candidates"), key=F.lower("field"))
-    return best.select("doc_id", "field", F.round(extraction.confidence(), 6).alias("score"))
+    return best.select("doc_id", "field", "text", F.round(extraction.confidence(), 6).alias("score"))
 
 
 @query(with_fixtures("candidates") + f" SELECT doc_id, round(sum(c), 6) AS conf_sum, count(*) FILTER (WHERE c >= 0.25) AS present FROM (SELECT doc_id, {KEY} AS field, max(det_conf) AS c FROM candidates GROUP BY 1, 2) GROUP BY doc_id")
@@ -172,10 +172,13 @@ def agg_coverage(spark, sf_dir):
     return _packets(spark, sf_dir).select("doc_id", F.round(extraction.coverage(F.col("fields"), F.col("doc_type")), 6).alias("coverage"))
 
 
-@query(f"WITH p AS ({_PACKET.format(customer='customer')}) SELECT doc_id, 2 AS critical, false AS reject FROM p")
+@query(f"WITH p AS ({_PACKET.format(customer='customer')}) SELECT doc_id, 2 - (doc_id % 3 = 0)::int - (doc_id % 7 = 0)::int AS critical, doc_id % 3 = 0 OR doc_id % 7 = 0 AS reject FROM p")
 def pred_reject_unless2(spark, sf_dir):
+    """Every third packet without its name, every seventh with an empty date of birth."""
+    id_, empty = F.col("doc_id"), F.lit("")
+    kept = F.map_filter(F.transform_values("fields", lambda k, v: F.when((k == "date_of_birth") & (id_ % 7 == 0), empty).otherwise(v)), lambda k, _: (k != "name") | (id_ % 3 > 0))
     n = extraction.critical_fields(F.col("fields"))
-    return _packets(spark, sf_dir).select("doc_id", n.alias("critical"), (n < 2).alias("reject"))
+    return _packets(spark, sf_dir).withColumn("fields", kept).select("doc_id", n.alias("critical"), (n < 2).alias("reject"))
 
 
 @query(
@@ -702,14 +705,14 @@ def ret_dense_ten(spark, sf_dir):
     return hits.select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-_LISTS = "a AS (SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders WHERE o_orderkey % 3 > 0)"
+_LISTS = "a AS (SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders)"
 
 
 @query(f"WITH {_LISTS}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) AS s, a.rank AS d, b.rank AS p FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.id = b.id) SELECT query_id, id, round(s, 8) AS rrf_score, cast(r AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, coalesce(d, 1073741824), coalesce(p, 1073741824)) AS r FROM f) WHERE r <= 10")
 def ret_rrf(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate")
     a = extraction.chosen_rank(orders, ["query_id"], [F.desc("o_totalprice"), F.col("id")])
-    b = extraction.chosen_rank(orders.where("id % 3 > 0"), ["query_id"], [F.col("o_orderdate"), F.col("id")])
+    b = extraction.chosen_rank(orders, ["query_id"], [F.col("o_orderdate"), F.col("id")])
     return retrieve.rank_fusion(a, b, 10).withColumn("rrf_score", F.round("rrf_score", 8))
 
 
@@ -728,7 +731,14 @@ def ret_rerank(spark, sf_dir):
 QUERIES["topk_rerank"], SQL["topk_rerank"] = QUERIES["ret_rerank"], SQL["ret_rerank"]
 
 
-@query()
+@query(
+    with_fixtures("documents_text", "questions")
+    + _BM25
+    + """, d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM questions)),
+    dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM d), sr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sparse),
+    u AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.id, y.id) AS id, coalesce(1.0::double / (60 + x.rank), 0) + coalesce(1.0::double / (60 + y.rank), 0) AS s, x.rank AS a, y.rank AS b FROM (SELECT * FROM dr WHERE rank <= 10) x FULL OUTER JOIN (SELECT * FROM sr WHERE rank <= 10 AND score > 0) y ON x.query_id = y.query_id AND x.id = y.id)
+    SELECT query_id, id, round(s, 8) AS rrf_score, cast(r AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, coalesce(a, 1073741824), coalesce(b, 1073741824)) AS r FROM u) WHERE r <= 10"""
+)
 def ret_hybrid(spark, sf_dir):
     """Dense and sparse hits of every question, fused; a question's vector is the one of its number."""
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

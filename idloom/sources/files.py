@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,16 @@ from pyspark.sql import functions as F
 CORRECTION = "document_id string, doc_type string, field_name string, original_value string, corrected_value string, reviewer string, image_uri string, extraction_path string"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a local session without one gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="idloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_blobs(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, modificationTime, length, content) of a landing folder on any file system that Spark reads, S3 included."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -118,14 +130,25 @@ def write_eval(folder: str, manifest: DataFrame, results: DataFrame, metrics: Da
 
 
 def save_reviews(reviews: DataFrame, folder: str, corrections: str) -> None:
-    """Reviews by file-safe id, and a correction per corrected field with an empty original."""
+    """Reviews as JSON lines with their file-safe id, and a correction per corrected field with an empty original.
+
+    All reviews of a batch share its files: a folder for each of them would be millions.
+    """
     from idloom.operators.learn import correction_rows
 
-    reviews.withColumn("safe_id", F.translate("job_id", "\\/", "__")).write.mode("append").partitionBy("safe_id").json(folder)
+    reviews.withColumn("safe_id", F.translate("job_id", "\\/", "__")).write.mode("append").json(folder)
     rows = correction_rows(reviews)
     append_corrections(rows.select(F.col("job_id").alias("document_id"), F.lit("unknown").alias("doc_type"), "field_name", "original_value", "corrected_value", "reviewer", F.lit(None).cast("string").alias("image_uri"), F.lit("review").alias("extraction_path")), corrections)
 
 
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """A table as a Markdown report, a line per row in the order given, written as one text file folder."""
+    names = rows.columns
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(f"# {title}",), ("",), ("| " + " | ".join(names) + " |",), ("|" + "-|" * len(names),)], "value string").coalesce(1)
+    head.unionByName(rows.select(line.alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+
+
 def load_settings(path: str | None = None, defaults: Mapping[str, str] | None = None, required: tuple[str, ...] = (), environ: Mapping[str, str] | None = None, prefix: str = "IDLOOM_") -> dict:
     """Settings of a YAML file, by argument, then environment, then none, over the defaults; each field may come from the environment.
 

@@ -5,10 +5,10 @@ import os
 import pytest
 from oracle import compare, connect
 
-from idloom.plans import records, scalars, tables
+from idloom.plans import flows, records, scalars, tables
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = {**scalars.QUERIES, **tables.QUERIES, **records.QUERIES}, {**scalars.SQL, **tables.SQL, **records.SQL}
+QUERIES, SQL = {**scalars.QUERIES, **tables.QUERIES, **records.QUERIES, **flows.QUERIES}, {**scalars.SQL, **tables.SQL, **records.SQL, **flows.SQL}
 
 
 @pytest.fixture(scope="module")
