@@ -70,20 +70,29 @@ def leakage(rows: DataFrame) -> DataFrame:
     return rows.where("attack is not null").groupBy("attack").agg(F.count("*").alias("n"), F.count_if(clear & seen).alias("flagged_leakage"), F.count_if(clear & ~seen).alias("undetected"))
 
 
-def percentile_exclusive(values: Column, q: int) -> Column:
-    """The q-th of 99 cut points by the exclusive method, which may lie beyond the ends; 0 for no values, the value for one."""
-    v = F.array_sort(values)
-    n = F.size(v)
-    j = F.greatest(F.lit(1), F.least(n - 1, F.floor(q * (n + 1) / 100).cast("int")))
-    part = q * (n + 1) / 100 - j
-    low, high = F.get(v, j - 1), F.get(v, j)
-    return F.when(n == 0, 0.0).when(n == 1, F.get(v, F.lit(0))).otherwise(low + (high - low) * part)
-
-
-def quantile_index(values: Column, q: float) -> Column:
-    """The element at the whole part of q times the count: how the metrics endpoint takes quantiles."""
-    v = F.array_sort(values)
-    return F.get(v, F.least(F.floor(q * F.size(v)).cast("int"), F.size(v) - 1))
+def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(by, n, and a column per rank): the values at places of each group's order, from 0, given as expressions of its size `n`.
+
+    Equal values are counted first, and a running sum finds the places, so that no group is gathered into an array.  Nulls don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__value")).agg(F.count("*").alias("__many"))
+    upto = counts.withColumn("__upto", F.sum("__many").over(Window.partitionBy(by).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = counts.groupBy(by).agg(F.sum("__many").alias("n"))
+    found = [F.min(F.when(F.col("__upto") > rank, F.col("__value"))).alias(name) for name, rank in ranks.items()]
+    return upto.join(sizes, by).groupBy(by, "n").agg(*found)
+
+
+def percentile_exclusive(rows: DataFrame, by: str, value: str, q: int, name: str) -> DataFrame:
+    """(by, name): the q-th of 99 cut points by the exclusive method, which may lie beyond the ends; the value for a single one."""
+    n = F.col("n")
+    j = F.greatest(F.lit(1), F.least(n - 1, F.floor(q * (n + 1) / 100)))
+    ends = at_ranks(rows, by, value, {"low": F.greatest(F.lit(0), j - 1), "high": F.least(n - 1, j)})
+    return ends.select(by, F.when(n == 1, F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (q * (n + 1) / 100 - j)).alias(name))
+
+
+def quantile_index(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """The elements at the whole part of q times the count: how the metrics endpoint takes quantiles."""
+    return at_ranks(rows, by, value, {k: F.least(F.floor(q * F.col("n")), F.col("n") - 1) for k, q in quantiles.items()}).drop("n")
 
 
 def threshold_advice(rows: DataFrame, keep: float = 0.95) -> DataFrame:

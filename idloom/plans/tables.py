@@ -485,7 +485,7 @@ _EX = "(SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE val
 
 @query(f"SELECT event_type, round(v[j] + (v[j + 1] - v[j]) * (95 * (len(v) + 1) / 100.0::double - j), 4) AS p95 FROM (SELECT *, greatest(1, least(len(v) - 1, cast(floor(95 * (len(v) + 1) / 100) AS bigint))) AS j FROM {_EX})")
 def agg_pctl_exclusive(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(evaluate.percentile_exclusive(F.collect_list("value"), 95), 4).alias("p95"))
+    return evaluate.percentile_exclusive(read(spark, sf_dir, "events"), "event_type", "value", 95, "p95").withColumn("p95", F.round("p95", 4))
 
 
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 4) AS p{round(q * 100)}" for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM events GROUP BY event_type")
@@ -495,7 +495,7 @@ def agg_quantile_linear(spark, sf_dir):
 
 @query(f"SELECT event_type, " + ", ".join(f"v[least(cast(floor({q} * len(v)) AS bigint), len(v) - 1) + 1] AS q{round(q * 100)}" for q in (0.5, 0.9, 0.99)) + f" FROM {_EX}")
 def agg_summary_quantile(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(*[evaluate.quantile_index(F.collect_list("value"), q).alias(f"q{round(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    return evaluate.quantile_index(read(spark, sf_dir, "events"), "event_type", "value", {f"q{round(q * 100)}": q for q in (0.5, 0.9, 0.99)})
 
 
 @query("SELECT p_brand, p_size > 25 AS pass, count(*) AS n FROM part GROUP BY 1, 2")
