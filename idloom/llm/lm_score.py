@@ -14,7 +14,7 @@ from idloom.llm._text import segment_sum, word_hashes
 
 #: The least sizes of a model: WORD_BITS, CLASS_ROWS and WORD_ROWS grow with the vocabulary, and so does the tree below the last class.
 WORD_BITS, CLASSES, SLOTS, CLASS_ROWS, WORD_ROWS = 16, 32, 32, 1 << 13, 1 << 15
-EPOCHS, ROUNDS, RATE, BATCH, ROWS_PER_BLOCK = 1, 3, 0.6, 16384, 64
+EPOCHS, ROUNDS, RATE, BATCH, ROWS_PER_BLOCK, SETTLED = 1, 3, 0.6, 16384, 64, 256.0
 OWN, DIGIT, WORDS_PER_ROW = (CLASSES - 1) * SLOTS, SLOTS.bit_length() - 1, 16
 
 
@@ -252,6 +252,16 @@ def score(symbols: np.ndarray, buckets: np.ndarray, offsets: np.ndarray, model:
     return out
 
 
+def _more_than_one(n: np.ndarray, squares: np.ndarray, settled: float = SETTLED) -> np.ndarray:
+    """By how much the tasks' changes of a row together exceed their mean.
+
+    Of a row that tasks used much, each comes to the same place.  One used little is still on its way: with AdaGrad, k tasks
+    together go the square root of k times as far as one.  n: uses of each row by all tasks; squares: of the uses by task.
+    """
+    tasks = n * n / np.maximum(squares, 1)
+    return tasks ** (0.5 / (1 + n / np.maximum(tasks, 1) / settled))
+
+
 def _counted(seen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """(word, n) of distinct words from the counts of several blocks."""
     words, at = np.unique(np.concatenate([w for w, _ in seen]), return_inverse=True)
@@ -264,7 +274,7 @@ def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: flo
 
     An epoch has ROUNDS rounds, each over another part of the texts.  In a round each task takes gradient steps over its texts
     and sends the changes of the rows that it touched; the mean of each row's changes, weighted by how often tasks used the
-    row, is added to the model that the next round begins with.  Tasks are few enough that a round sends about 2 bytes for each
+    row, and the more raised the less they did, is added to the model that the next round begins with.  Tasks are few enough that a round sends about 2 bytes for each
     word of the corpus.  The counts of the distinct words and the model are collected and broadcast.  Null and empty texts
     add nothing.
     """
@@ -314,12 +324,12 @@ def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: flo
                 for block, n, change in zip(*(batch.column(k).to_pylist() for k in range(3))):
                     n, change = np.frombuffer(n, np.float32).astype(np.float64), np.frombuffer(change, np.float32).astype(np.float64)
                     if block in sums:
-                        sums[block][0] += n
-                        sums[block][1] += change
+                        for held, more in zip(sums[block], (n, change, n * n)):
+                            held += more
                     else:
-                        sums[block] = [n, change]
-            for block, (n, change) in sums.items():
-                step = change.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+                        sums[block] = [n, change, n * n]
+            for block, (n, change, squares) in sums.items():
+                step = change.reshape(len(n), -1) * (_more_than_one(n, squares) / np.maximum(n, 1))[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([step.astype(np.float32).tobytes()])], ["block", "change"])
 
         updates = part.mapInArrow(train, "block bigint, n binary, change binary")
@@ -338,7 +348,8 @@ def score_documents(docs: DataFrame, model: MaxentModel | None = None, id_col: s
     """(doc_id, n_words, log_prob, perplexity) of every row, the last two rounded to 4 places.
 
     The model is trained on the texts themselves if none is given.  Texts without words have a log_prob of 0 and a null
-    perplexity; null texts have nulls.  Rows keep null and repeated ids; other columns are left out.  Whole texts are scored.
+    perplexity; null texts have nulls.  Rows keep null and repeated ids; other columns are left out; an empty table gives no rows.
+    Whole texts are scored, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if model is None else model)
 

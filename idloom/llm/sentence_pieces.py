@@ -363,7 +363,8 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     Each text is normalised by the model's character map, the longest prefix first, or by `charsmap` if given.  A piece from
     within a replacement spans all of what was replaced that begins in it, and may be empty.  round_trip tells whether
     decoding gives the source again; it need not where normalisation changes the text.  Null texts have null arrays, empty
-    ones empty arrays.  Rows keep null and repeated ids; other columns are left out.
+    ones empty arrays.  Rows keep null and repeated ids; other columns are left out; an empty table gives no rows.  Texts are read
+    whole, however long.
     """
     key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model, character_map(model.charsmap if charsmap is None else charsmap), squeeze))

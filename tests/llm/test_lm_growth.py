@@ -23,3 +23,14 @@ def test_sizes_follow_the_vocabulary():
     assert len(large.by_word) >= 4 * len(small.by_word) and len(large.by_class) >= 4 * len(small.by_class)
     leaves = np.stack([large.symbol.astype(np.int64), large.tree.leaf], axis=1)
     assert len(np.unique(leaves, axis=0)) == 1 << 21
+
+
+def test_two_splittings_give_like_models(spark):
+    """Tasks train apart and are merged three times: split rows give a somewhat weaker model, but the same order of texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = []
+    for parts in (1, 4):
+        rows = lm_score.score_documents(docs.repartition(parts, "doc_id")).collect()
+        scores.append({r.doc_id: r.log_prob / r.n_words for r in rows if r.n_words})
+    a, b = (np.array([s[k] for k in sorted(scores[0])]) for s in scores)
+    assert np.abs(a - b).mean() < 0.6 and np.corrcoef(a, b)[0, 1] > 0.93
