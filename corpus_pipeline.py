@@ -1,4 +1,7 @@
-"""Clean, deduplicate and pack `documents`.  Each stage works on what the one before kept, written as Parquet and read again."""
+"""Clean, deduplicate and pack `documents`.  Each stage works on what the one before kept, written as Parquet and read again.
+
+Every stage takes nulls in any column, repeated rows, texts of any length, further columns and empty tables, which give no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no letters or fits no language."""
+    """Drop what has no letters, null and empty texts among it, or fits no language."""
     return lang_id.accept_languages(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop toxic documents, by a model trained on the labelled ones among these."""
+    """Drop toxic documents, by a model trained on the labelled ones among these.  Null and empty texts stay, and all without labels."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of all documents with the same bytes."""
+    """Keep one of all documents with the same bytes, that of the smallest id.  Null texts stay; a null id comes after all others."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies, that of the smallest id.  Texts without words, and rows without an id, stay."""
     return near_dup.near_dedup(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every token of the documents left in a training sequence."""
+    """Place every token of the documents left in a training sequence.  An empty text has one token, a null text none."""
     return packing.best_fit_packing(docs)
 
 
