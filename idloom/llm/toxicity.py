@@ -111,7 +111,8 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
             bias -= rate * err.sum() / np.sqrt(gb)
     machine = FactorizationMachine(slot, bias, table[:, 0].copy(), table[:, 1:].copy(), 0.5)
     if len(held) and toxic[held].max() == 1:
-        s = np.round(machine.score(np.concatenate([docs[i] for i in held]), np.concatenate([[0], np.cumsum([len(docs[i]) for i in held])])), 6)
+        parts = [held[at : at + 256] for at in range(0, len(held), 256)]
+        s = np.round(np.concatenate([machine.score(np.concatenate([docs[i] for i in p]), np.concatenate([[0], np.cumsum([len(docs[i]) for i in p])])) for p in parts]), 6)
         order = np.argsort(-s, kind="stable")
         hit = np.cumsum(toxic[held][order])
         f1 = 2 * hit / (np.arange(1, len(held) + 1) + toxic[held].sum())
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample's size is bounded by the parameter, so it may be broadcast at any scale.
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id")
     table = rows.select("__text", "__toxic").mapInArrow(featurise, "terms array<int>, toxic int").toArrow()
-    found, toxic = [np.asarray(t.values, np.int64) for t in table.column("terms")], table.column("toxic").to_numpy().astype(np.int64)
+    found, toxic = [np.asarray(t.values) for t in table.column("terms")], table.column("toxic").to_numpy().astype(np.int64)
     keys = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes(), toxic[i]))  # the same model in whatever order the rows come
     return train([found[i] for i in keys], toxic[keys])
 
