@@ -117,3 +117,8 @@ def upload_types(files: Column, types: Column) -> Column:
     """Array of types, one per file: the comma list, padded with auto."""
     given = F.transform(F.split(F.coalesce(types, F.lit("")), ","), lambda t: F.trim(t))
     return F.transform(files, lambda _, i: F.coalesce(F.nullif(F.get(given, i), F.lit("")), F.lit("auto")))
+
+
+def api_user(key: Column, valid: Column) -> Column:
+    """Who asks: 'anonymous' where no keys are set, the key if it is one of them, else null, which is a refusal."""
+    return F.when(F.size(valid) == 0, "anonymous").when((F.coalesce(key, F.lit("")) != "") & F.array_contains(valid, key), key)

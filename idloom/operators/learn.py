@@ -71,6 +71,13 @@ def active_models(versions: DataFrame) -> DataFrame:
     return versions.where("status = 'active'").select("model", "version", "weights")
 
 
+def to_reload(active: DataFrame, loaded: DataFrame) -> DataFrame:
+    """(model, version) of active models whose weights are there and whose version isn't the one loaded."""
+    held = loaded.select("model", F.col("version").alias("held"))
+    stale = (F.coalesce("weights", F.lit("")) != "") & ~F.col("version").eqNullSafe(F.col("held"))
+    return active.join(held, "model", "left").where(stale).select("model", "version")
+
+
 def training_rows(reviews: DataFrame, images: DataFrame) -> DataFrame:
     """Reviewed documents with a picture of the same file name, and a type inferred from the corrected fields."""
     from idloom.operators.extraction import infer_type

@@ -286,6 +286,13 @@ def al_registry(spark, sf_dir):
     return (versions if last is None else learn.promote(versions, "Brand#11", last)).select("model", "version", "status")
 
 
+@query("SELECT p_brand AS model, cast(max(p_partkey) AS string) AS version FROM part GROUP BY 1 HAVING max(p_partkey) <> min(p_partkey) AND max(p_size) > 10")
+def al_hot_reload(spark, sf_dir):
+    """Each brand's last part is its active version, with weights where a part is large; the first one is loaded."""
+    per = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model")).agg(F.max("p_partkey").cast("string").alias("version"), F.min("p_partkey").cast("string").alias("first"), F.when(F.max("p_size") > 10, "w").alias("weights"))
+    return learn.to_reload(per.select("model", "version", "weights"), per.select("model", F.col("first").alias("version")))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begin, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def str_windows(spark, sf_dir):
     return cases.event_windows(read(spark, sf_dir, "events")).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n", F.round("total", 2).alias("total"))

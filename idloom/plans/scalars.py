@@ -125,6 +125,11 @@ SCALARS: dict[str, Scalar] = {
     "dec_ensemble": ("case when id % 5 = 0 then null else (id % 41) / 10.0 end as a, case when id % 7 = 0 then null else (id % 37) / 10.0 end as b", lambda a, b: extraction.ensemble_path(a.cast("double"), b.cast("double")), "case when a is not null and b is not null then case when a::double * 0.6::double >= b::double * 0.4::double then 'ensemble_yolo' else 'ensemble_vlm' end when a is not null then 'yolo' when b is not null then 'vlm' end"),
     "dec_unknown_type": ("(id % 11) / 10.0 as a, (id % 7) / 10.0 as b", lambda a, b: extraction.unknown_type(a, b), "case when a >= b then 'pan' else 'aadhaar' end"),
     "dec_policy_value": ("case id % 3 when 0 then true when 1 then false end as a", lambda a: decide.policy_value(a), "cast(case when coalesce(a, true) then 1.0 else 0.3 end as double)"),
+    "pred_api_key": (
+        "case id % 4 when 0 then 'k1' when 1 then 'k2' when 2 then '' end as a, id % 3 = 0 as b",
+        lambda a, b: decide.api_user(a, F.when(b, F.array().cast("array<string>")).otherwise(F.array(F.lit("k1"), F.lit("k3")))),
+        "case when b then 'anonymous' when a = 'k1' then 'k1' end",
+    ),
     "img_metadata": (
         "case id % 4 when 0 then 'Adobe Photoshop 22' when 1 then 'GIMP 2' when 2 then '' end as a, cast(70 + id % 30 as int) as b",
         lambda a, b: F.array_join(forensics.metadata_flags(a, F.when(b > 90, "Canon"), F.lit(""), F.lit("2020:01:01"), F.when(b % 3 == 0, "2021:01:01").otherwise("2020:01:01"), b), ","),
