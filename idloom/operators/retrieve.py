@@ -81,9 +81,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
         def run(batches):
             ids, q = shared.value
             best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            # Few vectors at a time: the scores of all queries with them are one matrix.
+            for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
                 keys = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
