@@ -145,21 +145,41 @@ def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None)
     return place, node, taken, tree.log_prior[tail] if len(tail) else None
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None, chunk: int = 4096) -> np.ndarray:
-    """Probabilities of the choices at each position; in chunks that stay in the cache."""
-    out = np.empty((rows.shape[1], table.shape[1]), np.float32)
-    more, begin = np.empty((min(chunk, len(out)), table.shape[1]), np.float32), len(out) - (0 if prior is None else len(prior))
-    for at in range(0, len(out), chunk):
-        score = out[at : at + chunk]
-        np.take(table, rows[0, at : at + chunk], axis=0, out=score, mode="clip")
+def _scores(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None, chunk: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(begin, scores less each position's largest) of the choices, in chunks that stay in the cache and are used again."""
+    n, width = rows.shape[1], table.shape[1]
+    room, more = (np.empty((min(chunk, n), width), np.float32) for _ in range(2))
+    begin, same = n - (0 if prior is None else len(prior)), bool((rows[0] == rows[0, 0]).all()) if n else False
+    for at in range(0, n, chunk):
+        score = room[: min(chunk, n - at)]
+        if same:
+            score[:] = table[rows[0, 0]]
+        else:
+            np.take(table, rows[0, at : at + chunk], axis=0, out=score, mode="clip")
         for r in rows[1:]:
             score += np.take(table, r[at : at + chunk], axis=0, out=more[: len(score)], mode="clip")
         if prior is not None and at + len(score) > begin:
             k = max(at, begin)
             score[k - at :] += prior[k - begin : at + len(score) - begin]
         score -= score.max(axis=1, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=1, keepdims=True)
+        yield at, score
+
+
+def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of the choices at each position."""
+    out, ones = np.empty((rows.shape[1], table.shape[1]), np.float32), np.ones(table.shape[1], np.float32)
+    for at, score in _scores(table, rows, prior):
+        p = np.exp(score, out=out[at : at + len(score)])
+        p *= (1 / (p @ ones))[:, None]
+    return out
+
+
+def _log_p(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of the choice taken at each position, as float64."""
+    out, ones = np.empty(rows.shape[1]), np.ones(table.shape[1], np.float32)
+    for at, score in _scores(table, rows, prior):
+        own = score[np.arange(len(score)), taken[at : at + len(score)]].astype(np.float64)
+        out[at : at + len(score)] = own - np.log((np.exp(score, out=score) @ ones).astype(np.float64))
     return out
 
 
@@ -244,11 +264,10 @@ def score(symbols: np.ndarray, buckets: np.ndarray, offsets: np.ndarray, model:
         s = slice(at, at + BATCH)
         k, f = keys[:, s], _class_rows(keys[:, s], len(model.by_class))
         place, node, taken, prior = _choices(model.tree, symbols[s], buckets[s])
-        p = _softmax(model.by_word, _word_rows(k[:, place], node, len(model.by_word)), prior)
-        n, log_p = f.shape[1], np.log(p[np.arange(len(taken)), taken].astype(np.float64))
+        n, log_p = f.shape[1], _log_p(model.by_word, _word_rows(k[:, place], node, len(model.by_word)), taken, prior)
         if prior is not None:
             log_p[n:] -= prior[np.arange(len(prior)), taken[n:]]
-        out[s] += np.log(_softmax(model.by_class, f)[np.arange(n), symbols[s] // SLOTS]) + np.bincount(place, log_p, n)
+        out[s] += _log_p(model.by_class, f, symbols[s] // SLOTS) + np.bincount(place, log_p, n)
     return out
 
 
