@@ -146,79 +146,101 @@ def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None)
 
 
 def _scores(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None, chunk: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
-    """(begin, scores less each position's largest) of the choices, in chunks that stay in the cache and are used again."""
+    """(begin, scores) of the choices, in chunks that stay in the cache and are used again."""
     n, width = rows.shape[1], table.shape[1]
     room, more = (np.empty((min(chunk, n), width), np.float32) for _ in range(2))
     begin, same = n - (0 if prior is None else len(prior)), bool((rows[0] == rows[0, 0]).all()) if n else False
     for at in range(0, n, chunk):
         score = room[: min(chunk, n - at)]
         if same:
-            score[:] = table[rows[0, 0]]
+            np.add(np.take(table, rows[1, at : at + chunk], axis=0, out=score, mode="clip"), table[rows[0, 0]], out=score)
         else:
             np.take(table, rows[0, at : at + chunk], axis=0, out=score, mode="clip")
-        for r in rows[1:]:
+        for r in rows[1 + same :]:
             score += np.take(table, r[at : at + chunk], axis=0, out=more[: len(score)], mode="clip")
         if prior is not None and at + len(score) > begin:
             k = max(at, begin)
             score[k - at :] += prior[k - begin : at + len(score) - begin]
-        score -= score.max(axis=1, keepdims=True)
         yield at, score
 
 
+def _exp(score: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums) of each row, as `out`.  Rows of very large or small sums have their largest score taken off, in `score` too."""
+    ones = np.ones(score.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        total = np.exp(score, out=out) @ ones
+    far = np.flatnonzero(~((total > 1e-20) & (total < 1e20)))
+    if len(far):
+        score[far] -= score[far].max(axis=1, keepdims=True)
+        out[far] = np.exp(score[far])
+        total[far] = out[far] @ ones
+    return out, total
+
+
 def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of the choices at each position."""
-    out, ones = np.empty((rows.shape[1], table.shape[1]), np.float32), np.ones(table.shape[1], np.float32)
+    out = np.empty((rows.shape[1], table.shape[1]), np.float32)
     for at, score in _scores(table, rows, prior):
-        p = np.exp(score, out=out[at : at + len(score)])
-        p *= (1 / (p @ ones))[:, None]
+        p, total = _exp(score, out[at : at + len(score)])
+        p *= (1 / total)[:, None]
     return out
 
 
 def _log_p(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """Log-probability of the choice taken at each position, as float64."""
-    out, ones = np.empty(rows.shape[1]), np.ones(table.shape[1], np.float32)
+    out, room = np.empty(rows.shape[1]), None
     for at, score in _scores(table, rows, prior):
-        own = score[np.arange(len(score)), taken[at : at + len(score)]].astype(np.float64)
-        out[at : at + len(score)] = own - np.log((np.exp(score, out=score) @ ones).astype(np.float64))
+        room = np.empty_like(score) if room is None else room[: len(score)]
+        _, total = _exp(score, room)
+        own = score[np.arange(len(score)), taken[at : at + len(score)]]
+        out[at : at + len(score)] = own.astype(np.float64) - np.log(total.astype(np.float64))
     return out
 
 
 def _step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, p: np.ndarray, gold: np.ndarray, rate: float) -> None:
     """AdaGrad by row on one batch: the gradient of a row is the sum of p - 1[gold] over the positions that use it."""
     p.reshape(-1)[np.arange(len(gold)) * p.shape[1] + gold] -= 1
-    room = np.empty_like(p)
+    whole = np.dtype((np.void, p.shape[1] * p.itemsize))
     for r in rows:
         if r[0] == r[-1] and (r == r[0]).all():
             at, n, g = r[:1], np.array([len(r)]), p.sum(axis=0, keepdims=True)
         else:
-            at, n, g = _sum_by_row(r, p, room)
+            at, n, g = _sum_by_row(r, p)
         now = squares[at] + np.einsum("ij,ij->i", g, g)
         squares[at] = now
         g *= (rate / np.sqrt(now + 1e-6))[:, None]
         held = np.take(table, at, axis=0)
         held -= g
-        table[at] = held
+        table.view(whole)[at, 0] = held.view(whole)[:, 0]  # a row is copied at once
         touched[at] += n
 
 
-def _sum_by_row(r: np.ndarray, p: np.ndarray, room: np.ndarray | None = None, short: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, positions of each, sums of their p).  Rows of few positions are added place by place."""
+def _sum_by_row(r: np.ndarray, p: np.ndarray, few: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, positions of each, sums of their p), rows of more positions first as far as 64.
+
+    The k-th positions of all rows that have so many are added at once; when few rows are left, each of them is summed.
+    """
     order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")  # two radix sorts are faster than one sort by comparison
     if len(r) and int(r.max()) > 0xFFFF:
         order = order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
     sorted_rows = r[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     n = np.diff(np.append(first, len(r)))
-    held = np.take(p, order, axis=0, out=room, mode="clip")
-    total = np.take(held, first, axis=0)
-    some = np.flatnonzero((n > 1) & (n <= short))
-    for k in range(1, short):
-        some = some[n[some] > k]
-        total[some] += np.take(held, first[some] + k, axis=0)
-    if len(many := np.flatnonzero(n > short)):
-        cuts = np.stack([first[many], first[many] + n[many]], axis=1).ravel()
-        total[many] = np.add.reduceat(held, cuts[:-1] if cuts[-1] == len(held) else cuts, axis=0)[::2]
-    return sorted_rows[first], n, total
+    capped = np.minimum(n, 64)
+    most = np.argsort((64 - capped).astype(np.uint8), kind="stable")
+    at, first, n = sorted_rows[first[most]], first[most], n[most]
+    total = np.take(p, order[first], axis=0)
+    having = len(n) - np.cumsum(np.bincount(capped))  # rows of more than k positions
+    k, room = 1, np.empty((having[1], p.shape[1]), p.dtype)
+    while having[k] > few and k < 63:
+        m = having[k]
+        total[:m] += np.take(p, order[first[:m] + k], axis=0, out=room[:m], mode="clip")
+        k += 1
+    ones = np.ones(len(r), p.dtype)
+    for g in range(int((n > k).sum())):
+        held = np.take(p, order[first[g] + k : first[g] + n[g]], axis=0)
+        total[g] += ones[: len(held)] @ held
+    return at, n, total
 
 
 def symbol_batches(texts: pa.Array, model: MaxentModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
