@@ -15,6 +15,8 @@ from idloom.llm._text import segment_sum, word_hashes
 #: The least sizes of a model: WORD_BITS, CLASS_ROWS and WORD_ROWS grow with the vocabulary, and so does the tree below the last class.
 WORD_BITS, CLASSES, SLOTS, CLASS_ROWS, WORD_ROWS = 16, 32, 32, 1 << 13, 1 << 15
 EPOCHS, ROUNDS, RATE, BATCH, ROWS_PER_BLOCK, SETTLED = 1, 3, 0.6, 16384, 64, 256.0
+#: Buckets treated at once where all of them are gone through.
+STRETCH = 1 << 20
 OWN, DIGIT, WORDS_PER_ROW = (CLASSES - 1) * SLOTS, SLOTS.bit_length() - 1, 16
 
 
@@ -53,24 +55,36 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Tree]:
 
     Below the last class the more frequent words have shorter paths.  Leaf 0 of each symbol is that of the buckets not seen.
     """
-    order = np.argsort(-counts, kind="stable")
-    symbol = np.empty(len(counts), np.int16)
-    symbol[order[:OWN]] = np.arange(min(OWN, len(order)))
-    rest = order[OWN:]
-    seen = int((counts[rest] > 0).sum())
+    found = np.flatnonzero(counts)
+    order = found[np.argsort(-counts[found], kind="stable")]
+    rest, blank, size = order[OWN:], max(0, OWN - len(order)), len(counts)
+    seen = len(rest)
     most = np.repeat([SLOTS - 1, SLOTS**2 - 1, SLOTS**3 - 1, 0], SLOTS // 4)
     most[most == 0] = -(-max(0, seen - int(most.sum())) // int((most == 0).sum()))
     ends = np.minimum(np.cumsum(most), seen)
-    slot = np.concatenate([np.searchsorted(ends, np.arange(seen), side="right"), np.arange(len(rest) - seen) % SLOTS])
-    symbol[rest] = OWN + slot
-    smooth = counts + 1.0
-    leaf = np.zeros(len(counts), np.int32)
     starts = np.concatenate([[0], ends[:-1]])
-    leaf[rest[:seen]] = np.arange(seen) - starts[slot[:seen]] + 1
-    unseen = np.bincount(slot[seen:], smooth[rest[seen:]], SLOTS)
+    slot = np.searchsorted(ends, np.arange(seen), side="right")
+    # Of the buckets not seen, the first have what symbols are left, and the others take turns below the last class.
+    symbol, total, place = np.empty(size, np.int16), np.zeros(CLASSES * SLOTS), 0
+    for at in range(0, size, STRETCH):
+        gaps = np.flatnonzero(counts[at : at + STRETCH] == 0)
+        rank = np.arange(place, place + len(gaps)) - blank
+        symbol[at + gaps] = np.where(rank < 0, OWN + rank, OWN + rank % SLOTS)
+        place += len(gaps)
+    symbol[order[:OWN]] = np.arange(min(OWN, len(order)))
+    symbol[rest] = OWN + slot
+    leaf = np.zeros(size, np.int32)
+    leaf[rest] = np.arange(seen) - starts[slot] + 1
+    del found, order, slot
+    for at in range(0, size, STRETCH):
+        total += np.bincount(symbol[at : at + STRETCH], counts[at : at + STRETCH] + 1.0, CLASSES * SLOTS)
+    log_within = np.empty(size, np.float32)
+    for at in range(0, size, STRETCH):
+        log_within[at : at + STRETCH] = np.log((counts[at : at + STRETCH] + 1.0) / total[symbol[at : at + STRETCH]])
+    unseen = np.bincount(np.arange(max(0, place - blank) % SLOTS), minlength=SLOTS) + max(0, place - blank) // SLOTS
     depth, levels = np.zeros(SLOTS, np.int32), []
     for k in range(SLOTS):
-        mass, above = np.concatenate([unseen[k : k + 1], smooth[rest[starts[k] : ends[k]]]]), []
+        mass, above = np.concatenate([unseen[k : k + 1], counts[rest[starts[k] : ends[k]]] + 1.0]), []
         while len(mass) > 1:
             mass = np.pad(mass, (0, -len(mass) % SLOTS)).reshape(-1, SLOTS)
             total = mass.sum(axis=1)
@@ -84,7 +98,6 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Tree]:
         for d, rows in enumerate(level):
             first[k, d], at = at, at + len(rows)
     prior = np.concatenate([np.zeros((0, SLOTS), np.float32), *(rows for level in levels for rows in level)])
-    log_within = np.log(smooth / np.bincount(symbol, smooth, CLASSES * SLOTS)[symbol]).astype(np.float32)
     return symbol, log_within, Tree(leaf, depth, first, prior)
 
 
@@ -336,23 +349,23 @@ def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: flo
 
     rows = texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     bits = max(WORD_BITS, (2 * len(rows) - 1).bit_length())
-    at = rows.column("word").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-    counts = np.bincount(at.astype(np.int64), rows.column("n").to_numpy(), 1 << bits).astype(np.int64)
-    found = len(rows)
-    del rows, at
+    counts, found = np.zeros(1 << bits, np.int64), len(rows)
+    for batch in rows.to_batches():
+        np.add.at(counts, (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), batch.column(1).to_numpy())
+    del rows
     model = new_model(counts)
     size = 4 * (model.by_class.size + model.by_word.size + len(model.by_class) + len(model.by_word))
     parallel = spark.sparkContext.defaultParallelism
     tasks = parallel * max(1, int(2 * counts.sum() / size / parallel))
     del counts
-    words = spark.sparkContext.broadcast((model.symbol, model.log_within, model.tree))
+    words = spark.sparkContext.broadcast((model.symbol, model.tree))
     for k in range(epochs * ROUNDS if found else 0):
         shared = spark.sparkContext.broadcast((model.by_class, model.by_word))
         part = texts.where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == k % ROUNDS).coalesce(tasks)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            symbol, log_within, tree = words.value
-            trainer = Trainer(MaxentModel(symbol, log_within, *shared.value, tree), rate)
+            symbol, tree = words.value
+            trainer = Trainer(MaxentModel(symbol, np.zeros(0, np.float32), *shared.value, tree), rate)  # log_within is for scores alone
             for batch in batches:
                 for _, _, buckets, symbols, offsets in symbol_batches(batch.column(0), trainer.start):
                     trainer.learn(symbols, offsets, buckets)
@@ -375,13 +388,14 @@ def fit(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS, rate: flo
 
         updates = part.mapInArrow(train, "block bigint, n binary, change binary")
         merged = updates.repartition("block").mapInArrow(mean, "block bigint, change binary").toArrow()
-        tables = [model.by_class.copy(), model.by_word.copy()]
-        for block, change in zip(merged.column("block").to_pylist(), merged.column("change").to_pylist()):
-            k, b = (0, block) if block < len(tables[0]) // ROWS_PER_BLOCK else (1, block - len(tables[0]) // ROWS_PER_BLOCK)
-            tables[k][b * ROWS_PER_BLOCK : (b + 1) * ROWS_PER_BLOCK] += np.frombuffer(change, np.float32).reshape(ROWS_PER_BLOCK, -1)
-        model = MaxentModel(model.symbol, model.log_within, *tables, model.tree)
-        shared.unpersist()
-    words.unpersist()
+        shared.destroy()
+        first = len(model.by_class) // ROWS_PER_BLOCK
+        for batch in merged.to_batches():
+            for block, change in zip(batch.column(0).to_pylist(), batch.column(1)):
+                table, b = (model.by_class, block) if block < first else (model.by_word, block - first)
+                table[b * ROWS_PER_BLOCK : (b + 1) * ROWS_PER_BLOCK] += np.frombuffer(change.as_buffer(), np.float32).reshape(ROWS_PER_BLOCK, -1)
+        del merged
+    words.destroy()
     return model
 
 

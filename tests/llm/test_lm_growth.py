@@ -1,6 +1,7 @@
 """The language model grows with the vocabulary: rare words are told apart, as context and as target."""
 
 import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +61,16 @@ def test_sums_by_row_cost_less_than_sums_by_segment():
     assert least(lambda: lm_score._sum_by_row(rows, p)) < 0.8 * least(by_segment)
 
 
+def test_vocabulary_takes_few_bytes_a_bucket():
+    r = np.random.default_rng(6)
+    counts = np.where(r.random(1 << 22) < 0.3, r.integers(1, 1000, 1 << 22), 0)
+    tracemalloc.start()
+    lm_score.vocabulary(counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * len(counts)
+
+
 def test_far_scores_have_probabilities():
     """Sums of exponentials beyond what a float holds, and below, are taken off their largest score."""
     table = np.zeros((4, 32), np.float32)
