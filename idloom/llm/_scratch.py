@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def release() -> None:
+    """Give what Python's and Arrow's allocators hold unused back to the system: the driver's memory is counted with its JVM's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Scratch:
     """Named Parquet tables of one operator call."""
 

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idloom.llm._scratch import release
 from idloom.llm._text import BLOCK, _cuts, blocks, buffers, segment_sum, word_spans
 
 BUCKET_BITS, PER_LANGUAGE, LANGUAGES, PENALTY, MIN_SHARE = 17, 600, 128, 6.0, 0.05
@@ -203,6 +204,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
             code, _ = _trigrams(raw[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
             seen += np.bincount(code, minlength=size)
         log_p[:, k] = np.log((seen + smoothing) / (seen.sum() + smoothing * size))
+    rows = None
+    release()
     return LanguageModel((*languages, UNKNOWN), log_p)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idloom.llm._scratch import below
+from idloom.llm._scratch import below, release
 from idloom.llm._text import segment_sum, word_hashes
 
 TERM_BITS, LABELLED, FACTORS = 20, 20000, 8
@@ -85,12 +85,13 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, epo
         x, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
         order = np.argsort(x, kind="stable").astype(np.int32)
         first = np.flatnonzero(np.diff(x[order], prepend=-1))
-        batches.append((x, np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes), order, first, x[order[first]], toxic[used[at : at + BATCH]]))
+        batches.append((x, np.concatenate([[0], np.cumsum(sizes)]), order, first.astype(np.int32), x[order[first]], toxic[used[at : at + BATCH]]))
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
-            x, offsets, doc, order, first, at_rows, truth = batches[k]
+            x, offsets, order, first, at_rows, truth = batches[k]
             if not len(x):
                 continue
+            doc = np.repeat(np.arange(len(truth), dtype=np.int32), np.diff(offsets))
             own = table[x]
             one = segment_sum(own, offsets)
             two = segment_sum(np.einsum("ij,ij->i", own[:, 1:], own[:, 1:]), offsets)
@@ -143,7 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = rows.select("__text", "__toxic").mapInArrow(featurise, "terms array<int>, toxic int").toArrow()
     found, toxic = [np.asarray(t.values) for t in table.column("terms")], table.column("toxic").to_numpy().astype(np.int64)
     keys = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes(), toxic[i]))  # the same model in whatever order the rows come
-    return train([found[i] for i in keys], toxic[keys])
+    machine = train([found[i] for i in keys], toxic[keys])
+    del table, found
+    release()
+    return machine
 
 
 def toxicity(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text") -> Column:
