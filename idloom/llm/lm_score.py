@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ class MaxentModel:
     other one seen in training has a leaf of its own in the tree below a symbol of the last class, reached by further choices
     that start from the shares of the counts.  Without a tree these shares alone decide.  A row of `by_class` has a weight per
     class, one of `by_word` a weight per slot or branch; a feature's row in `by_word` depends on the class or node too.
+    With `odds`, weights and priors are held as exponentials (see `as_odds`).
     """
 
     symbol: np.ndarray
@@ -48,6 +49,11 @@ class MaxentModel:
     by_class: np.ndarray
     by_word: np.ndarray
     tree: Tree | None = None
+    odds: bool = False
+
+    def __setstate__(self, state: dict) -> None:
+        # what a broadcast brings begins anywhere
+        self.__dict__.update(state, by_class=_aligned(state["by_class"]), by_word=_aligned(state["by_word"]))
 
 
 def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, Tree]:
@@ -137,43 +143,51 @@ def _word_rows(keys: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
     return g.astype(np.intp)
 
 
-def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(place, node, branch taken, log priors of the branches or None) of every choice below the classes.
+def _aligned(table: np.ndarray) -> np.ndarray:
+    """A copy whose rows of 128 bytes begin where a line of the cache does: reading one takes two lines and not three."""
+    room = np.empty(table.nbytes + 128, np.uint8)
+    out = room[-room.ctypes.data % 128 :][: table.nbytes].view(table.dtype).reshape(table.shape)
+    out[...] = table
+    return out
+
+
+def _choices(tree: Tree | None, symbols: np.ndarray, buckets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """(place, node, branch taken, (log priors by node of the tree, that node of each) or None) of every choice below the classes.
 
     The first len(symbols) are the slots, whose nodes are the classes and which have no prior; those in the tree follow.
     """
-    place, node, taken = [np.arange(len(symbols))], [symbols.astype(np.int64) // SLOTS], [symbols.astype(np.int64) % SLOTS]
+    symbols = symbols.astype(np.int64)
+    place, node, taken = [np.arange(len(symbols))], [symbols >> DIGIT], [symbols & SLOTS - 1]
     if tree is not None and buckets is not None:
         rare = np.flatnonzero(symbols >= OWN)
-        slot, leaf = taken[0][rare], tree.leaf[buckets[rare]].astype(np.int64)
+        slot, leaf = taken[0].take(rare), tree.leaf.take(buckets.take(rare)).astype(np.int64)
+        left = tree.depth.take(slot).astype(np.int64)
         for k in range(int(tree.depth.max())):
-            deep = tree.depth[slot] > k
-            rare, slot, leaf = rare[deep], slot[deep], leaf[deep]
-            below = DIGIT * (tree.depth[slot] - k - 1)
+            deep = np.flatnonzero(left > 0)
+            rare, slot, leaf, left = rare.take(deep), slot.take(deep), leaf.take(deep), left.take(deep) - 1
             place.append(rare)
-            node.append(CLASSES + tree.first[slot, k] + (leaf >> below + DIGIT))
-            taken.append(leaf >> below & SLOTS - 1)
+            node.append(CLASSES + tree.first[:, k].take(slot) + (leaf >> DIGIT * (left + 1)))
+            taken.append(leaf >> DIGIT * left & SLOTS - 1)
     place, node, taken = np.concatenate(place), np.concatenate(node), np.concatenate(taken)
     tail = node[len(symbols) :] - CLASSES
-    return place, node, taken, tree.log_prior[tail] if len(tail) else None
+    return place, node, taken, (tree.log_prior, tail) if len(tail) else None
 
 
-def _scores(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None, chunk: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
-    """(begin, scores) of the choices, in chunks that stay in the cache and are used again."""
+def _scores(table: np.ndarray, rows: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None, joined: np.ufunc = np.add, chunk: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(begin, scores) of the choices, their rows joined in chunks that are used again.  The last choices have the priors."""
     n, width = rows.shape[1], table.shape[1]
     room, more = (np.empty((min(chunk, n), width), np.float32) for _ in range(2))
-    begin, same = n - (0 if prior is None else len(prior)), bool((rows[0] == rows[0, 0]).all()) if n else False
+    begin, same = n - (0 if prior is None else len(prior[1])), bool((rows[0] == rows[0, 0]).all()) if n else False
     for at in range(0, n, chunk):
         score = room[: min(chunk, n - at)]
+        table.take(rows[int(same), at : at + chunk], 0, score, "clip")
         if same:
-            np.add(np.take(table, rows[1, at : at + chunk], axis=0, out=score, mode="clip"), table[rows[0, 0]], out=score)
-        else:
-            np.take(table, rows[0, at : at + chunk], axis=0, out=score, mode="clip")
+            joined(score, table[rows[0, 0]], out=score)
         for r in rows[1 + same :]:
-            score += np.take(table, r[at : at + chunk], axis=0, out=more[: len(score)], mode="clip")
+            joined(score, table.take(r[at : at + chunk], 0, more[: len(score)], "clip"), out=score)
         if prior is not None and at + len(score) > begin:
             k = max(at, begin)
-            score[k - at :] += prior[k - begin : at + len(score) - begin]
+            joined(score[k - at :], prior[0].take(prior[1][k - begin : at + len(score) - begin], 0, more[k - at : len(score)], "clip"), out=score[k - at :])
         yield at, score
 
 
@@ -190,7 +204,7 @@ def _exp(score: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+def _softmax(table: np.ndarray, rows: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Probabilities of the choices at each position."""
     out = np.empty((rows.shape[1], table.shape[1]), np.float32)
     for at, score in _scores(table, rows, prior):
@@ -199,7 +213,7 @@ def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = Non
     return out
 
 
-def _log_p(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+def _log_p(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Log-probability of the choice taken at each position, as float64."""
     out, room = np.empty(rows.shape[1]), None
     for at, score in _scores(table, rows, prior):
@@ -210,50 +224,113 @@ def _log_p(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: np.nda
     return out
 
 
+def as_odds(model: MaxentModel, in_place: bool = False, most: float = 20.0) -> MaxentModel:
+    """The model with the exponentials of its weights and priors, whose products are the scores: then scoring takes no exponentials.
+
+    A model with a weight over `most` either way is given back as it is: a product of some of four such weights might leave what
+    a float holds.  In place, the given model is used up.
+    """
+    if model.odds or not all(-most <= t.min() and t.max() <= most for t in (model.by_class, model.by_word)):
+        return model
+    by_class, by_word = (np.exp(t, out=t if in_place else None) for t in (model.by_class, model.by_word))
+    tree = model.tree and replace(model.tree, log_prior=np.exp(model.tree.log_prior, out=model.tree.log_prior if in_place else None))
+    return MaxentModel(model.symbol, model.log_within, by_class, by_word, tree, True)
+
+
+def _log_p_by_odds(table: np.ndarray, rows: np.ndarray, taken: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """As `_log_p`, of a model as odds.  Products that are almost 0 are made again from logarithms."""
+    out, ones = np.empty(rows.shape[1]), np.ones(table.shape[1], np.float32)
+    begin = len(out) - (0 if prior is None else len(prior[1]))
+    for at, score in _scores(table, rows, prior, np.multiply):
+        n = np.arange(len(score))
+        total, own = score @ ones, score[n, taken[at : at + len(score)]]
+        far = at + np.flatnonzero(own < 1e-30)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[at : at + len(score)] = np.log(own.astype(np.float64) / total)
+            if len(far):
+                z = sum(np.log(table[r[far]].astype(np.float64)) for r in rows)
+                if prior is not None:
+                    z[far >= begin] += np.log(prior[0][prior[1][far[far >= begin] - begin]].astype(np.float64))
+                z -= z.max(axis=1, keepdims=True)
+                out[far] = z[np.arange(len(far)), taken[far]] - np.log(np.exp(z).sum(axis=1))
+    return out
+
+
 def _step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, p: np.ndarray, gold: np.ndarray, rate: float) -> None:
-    """AdaGrad by row on one batch: the gradient of a row is the sum of p - 1[gold] over the positions that use it."""
+    """AdaGrad by row on one batch: the gradient of a row is the sum of p - 1[gold] over the positions that use it.
+
+    Most rows are used by one position, whose p is taken as it is.
+    """
     p.reshape(-1)[np.arange(len(gold)) * p.shape[1] + gold] -= 1
-    whole = np.dtype((np.void, p.shape[1] * p.itemsize))
+    lengths = np.einsum("ij,ij->i", p, p)
     for r in rows:
         if r[0] == r[-1] and (r == r[0]).all():
-            at, n, g = r[:1], np.array([len(r)]), p.sum(axis=0, keepdims=True)
-        else:
-            at, n, g = _sum_by_row(r, p)
-        now = squares[at] + np.einsum("ij,ij->i", g, g)
-        squares[at] = now
-        g *= (rate / np.sqrt(now + 1e-6))[:, None]
-        held = np.take(table, at, axis=0)
-        held -= g
-        table.view(whole)[at, 0] = held.view(whole)[:, 0]  # a row is copied at once
-        touched[at] += n
-
-
-def _sum_by_row(r: np.ndarray, p: np.ndarray, few: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, positions of each, sums of their p), rows of more positions first as far as 64.
-
-    The k-th positions of all rows that have so many are added at once; when few rows are left, each of them is summed.
+            g = p.sum(axis=0, keepdims=True)
+            _descend(table, squares, r[:1], g, np.einsum("ij,ij->i", g, g), rate)
+            touched[r[0]] += len(r)
+            continue
+        order, at, first, n = _by_row(r)
+        touched[at] += n.astype(touched.dtype)
+        alone, several = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
+        own = order.take(first.take(alone))
+        _descend(table, squares, at.take(alone), p, lengths.take(own), rate, own)
+        if len(several):
+            ranked, g = _sums(order, first.take(several), n.take(several), p)
+            _descend(table, squares, at.take(several.take(ranked)), g, np.einsum("ij,ij->i", g, g), rate)
+
+
+def _descend(table: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray, lengths: np.ndarray, rate: float, own: np.ndarray | None = None, chunk: int = 4096) -> None:
+    """One step of the rows `at`, all distinct, by gradients g (by g[own] if given) of these squared lengths, in chunks that are used again."""
+    now = squares.take(at) + lengths
+    squares[at] = now
+    scale = (rate / np.sqrt(now + 1e-6))[:, None]
+    whole = np.dtype((np.void, table.shape[1] * table.itemsize))  # a row is copied at once
+    lines, room = table.view(whole)[:, 0], np.empty((2, min(chunk, len(at)), table.shape[1]), table.dtype)
+    for k in range(0, len(at), chunk):
+        rows = at[k : k + chunk]
+        held, change = room[:, : len(rows)]
+        np.multiply(g[k : k + chunk] if own is None else g.take(own[k : k + chunk], 0, change, "clip"), scale[k : k + chunk], out=change)
+        table.take(rows, 0, held, "clip")
+        held -= change
+        lines[rows] = held.view(whole)[:, 0]
+
+
+def _by_row(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions ordered by row, distinct rows, where each one's positions begin in that order, how many they are)."""
+    bits = len(r).bit_length()
+    key = np.sort(r.astype(np.int64) << bits | np.arange(len(r)))  # numbers are sorted faster than they are ranked
+    order, key = key & (1 << bits) - 1, key >> bits
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order, key.take(first), first, np.diff(np.append(first, len(r)))
+
+
+def _sums(order: np.ndarray, first: np.ndarray, n: np.ndarray, p: np.ndarray, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(ranked, sums of p in that order) of groups of positions, those of more positions first as far as 64.
+
+    The k-th positions of all groups that have so many are added at once; when few groups are left, each of them is summed.
     """
-    order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")  # two radix sorts are faster than one sort by comparison
-    if len(r) and int(r.max()) > 0xFFFF:
-        order = order[np.argsort((r >> 16).astype(np.uint16)[order], kind="stable")]
-    sorted_rows = r[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    n = np.diff(np.append(first, len(r)))
     capped = np.minimum(n, 64)
     most = np.argsort((64 - capped).astype(np.uint8), kind="stable")
-    at, first, n = sorted_rows[first[most]], first[most], n[most]
-    total = np.take(p, order[first], axis=0)
-    having = len(n) - np.cumsum(np.bincount(capped))  # rows of more than k positions
+    first, n = first[most], n[most]
+    total = p.take(order[first], 0, None, "clip")
+    having = len(n) - np.cumsum(np.bincount(capped))  # groups of more than k positions
     k, room = 1, np.empty((having[1], p.shape[1]), p.dtype)
     while having[k] > few and k < 63:
         m = having[k]
-        total[:m] += np.take(p, order[first[:m] + k], axis=0, out=room[:m], mode="clip")
+        total[:m] += p.take(order[first[:m] + k], 0, room[:m], "clip")
         k += 1
-    ones = np.ones(len(r), p.dtype)
+    ones = np.ones(int(n.max()), p.dtype)
     for g in range(int((n > k).sum())):
-        held = np.take(p, order[first[g] + k : first[g] + n[g]], axis=0)
+        held = p.take(order[first[g] + k : first[g] + n[g]], 0, None, "clip")
         total[g] += ones[: len(held)] @ held
-    return at, n, total
+    return most, total
+
+
+def _sum_by_row(r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, positions of each, sums of their p), rows of more positions first as far as 64."""
+    order, at, first, n = _by_row(r)
+    ranked, total = _sums(order, first, n, p)
+    return at[ranked], n[ranked], total
 
 
 def symbol_batches(texts: pa.Array, model: MaxentModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -268,7 +345,7 @@ class Trainer:
 
     def __init__(self, model: MaxentModel, rate: float = RATE):
         self.start, self.rate = model, rate
-        self.tables = [model.by_class.copy(), model.by_word.copy()]
+        self.tables = [_aligned(model.by_class), _aligned(model.by_word)]
         self.squares = [np.zeros(len(t), np.float32) for t in self.tables]
         self.touched = [np.zeros(len(t), np.float32) for t in self.tables]
 
@@ -278,7 +355,7 @@ class Trainer:
             s = slice(at, at + BATCH)
             k, f = keys[:, s], _class_rows(keys[:, s], len(self.tables[0]))
             place, node, taken, prior = _choices(self.start.tree, symbols[s], None if buckets is None else buckets[s])
-            g = _word_rows(k[:, place], node, len(self.tables[1]))
+            g = _word_rows(k.take(place, 1), node, len(self.tables[1]))
             _step(self.tables[0], self.squares[0], self.touched[0], f, _softmax(self.tables[0], f), symbols[s] // SLOTS, self.rate)
             _step(self.tables[1], self.squares[1], self.touched[1], g, _softmax(self.tables[1], g, prior), taken, self.rate)
 
@@ -294,15 +371,16 @@ class Trainer:
 
 def score(symbols: np.ndarray, buckets: np.ndarray, offsets: np.ndarray, model: MaxentModel) -> np.ndarray:
     """Natural log-probability of each word."""
+    log_p_of, as_log = (_log_p_by_odds, np.log) if model.odds else (_log_p, np.asarray)
     keys, out = features(contexts(symbols, buckets), offsets), model.log_within[buckets].astype(np.float64)
     for at in range(0, len(symbols), BATCH):
         s = slice(at, at + BATCH)
         k, f = keys[:, s], _class_rows(keys[:, s], len(model.by_class))
         place, node, taken, prior = _choices(model.tree, symbols[s], buckets[s])
-        n, log_p = f.shape[1], _log_p(model.by_word, _word_rows(k[:, place], node, len(model.by_word)), taken, prior)
+        n, log_p = f.shape[1], log_p_of(model.by_word, _word_rows(k.take(place, 1), node, len(model.by_word)), taken, prior)
         if prior is not None:
-            log_p[n:] -= prior[np.arange(len(prior)), taken[n:]]
-        out[s] += _log_p(model.by_class, f, symbols[s] // SLOTS) + np.bincount(place, log_p, n)
+            log_p[n:] -= as_log(prior[0][prior[1], taken[n:]])
+        out[s] += log_p_of(model.by_class, f, symbols[s] // SLOTS) + np.bincount(place, log_p, n)
     return out
 
 
@@ -406,7 +484,7 @@ def score_documents(docs: DataFrame, model: MaxentModel | None = None, id_col: s
     perplexity; null texts have nulls.  Rows keep null and repeated ids; other columns are left out; an empty table gives no rows.
     Whole texts are scored, however long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if model is None else model)
+    shared = docs.sparkSession.sparkContext.broadcast(as_odds(fit(docs, text_col), in_place=True) if model is None else as_odds(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
