@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idloom.functions.text import clamp
+from idloom.operators.evaluate import at_ranks
 
 PRIORS = {"ela": 0.55, "copy_move": 0.9, "font": 0.0, "font_template": 0.8, "metadata": 0.55, "screen": 0.65}
 LOW_QUALITY = 88
@@ -111,14 +112,41 @@ def robust_bounds(rows: DataFrame, by: list[str], value: str, margin: float, sid
     return spread.select(*by, "n", "median", unit.alias("unit"), (F.col("median") + (margin if side == "high" else -margin) * unit).alias("bound"))
 
 
-def leave_one_out(rows: DataFrame, by: str, key: str, value: str, margin: float, side: str = "high") -> DataFrame:
-    """Per group: the share of rows outside the bound that the group's other rows give.  For calibration sets, which are small."""
-    a = rows.select(by, F.col(key).alias("held"), F.col(value).alias("own"))
-    b = rows.select(by, F.col(key).alias("other"), F.col(value).alias("v"))
-    rest = a.join(b, by).where("held <> other")
-    bounds = robust_bounds(rest, [by, "held", "own"], "v", margin, side)
-    out = F.col("own") > F.col("bound") if side == "high" else F.col("own") < F.col("bound")
-    return bounds.groupBy(by).agg(F.count("*").alias("n"), F.avg(out.cast("double")).alias("false_positive_rate"))
+def leave_one_out(rows: DataFrame, by: str, key: str, value: str, margin: float, side: str = "high", least: int = 4) -> DataFrame:
+    """Per group: its rows with so many others, and the share of them outside the bound that the others give; no value is inside.
+
+    A row taken out moves a median by a place at most, so a group has three medians and each of them three median deviations.
+    They are read off running counts of distinct values, and no two rows meet.  Only rows that share a key, which leave
+    together, are held against each row that stays.
+    """
+    v, n = F.col("v"), F.col("n")
+    base = rows.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("g is not null and k is not null")
+    low, high = F.floor((n - 2) / 2), F.floor((n - 1) / 2)  # the middle places of the n - 1 values left
+    ranks = {"x1": low, "x2": low + 1, "y1": high, "y2": high + 1}
+    middle = lambda x, y: 0.5 * F.col(x) + 0.5 * F.col(y)
+    without = lambda c: 0.5 * F.when(c > F.col("x1"), F.col("x1")).otherwise(F.col("x2")) + 0.5 * F.when(c > F.col("y1"), F.col("y1")).otherwise(F.col("y2"))
+
+    centre = at_ranks(base, "g", "v", ranks).where("n > 1")
+    medians = centre.select("g", F.explode(F.array_distinct(F.array(middle("x1", "y1"), middle("x1", "y2"), middle("x2", "y2")))).alias("median"))
+    gaps = base.where(v.isNotNull()).join(medians, "g").select(F.struct("g", "median").alias("h"), (v - F.col("median")).alias("gap")).withColumn("d", F.abs("gap"))
+    sums = gaps.groupBy("h").agg(F.sum("gap").alias("s1"), F.sum(F.col("gap") * F.col("gap")).alias("s2"))
+    spread = at_ranks(gaps, "h", "d", ranks).join(sums, "h").select("h.*", *ranks, "s1", "s2")
+
+    sizes = base.groupBy("g").agg(F.count("*").alias("total"), (F.count("v") - 1).alias("m"))
+    copies = base.groupBy("g", "k").agg(F.count("*").alias("copies"), F.first("v").alias("v"))
+    one = copies.where("copies = 1").join(sizes, "g").where(F.col("total") > least)
+    held = one.join(centre.drop("n"), "g", "left").withColumn("median", without(v)).drop(*ranks).join(spread, ["g", "median"], "left")
+    gap = v - F.col("median")
+    mean, square = (F.col("s1") - gap) / F.col("m"), (F.col("s2") - gap * gap) / F.col("m")
+    sd = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+    unit = F.coalesce(F.nullif(without(F.abs(gap)), F.lit(0.0)), F.nullif(sd, F.lit(0.0)), F.lit(1e-6))
+    outside = lambda own, bound: F.coalesce(own > bound if side == "high" else own < bound, F.lit(False)).cast("double").alias("out")
+    alone = held.select("g", outside(v, F.col("median") + (margin if side == "high" else -margin) * unit))
+
+    shared = base.join(copies.where("copies > 1").select("g", "k"), ["g", "k"]).distinct()
+    rest = shared.select("g", F.col("k").alias("held"), F.col("v").alias("own")).join(base, "g").where("held <> k")
+    together = robust_bounds(rest, ["g", "held", "own"], "v", margin, side, least).select("g", outside(F.col("own"), F.col("bound")))
+    return alone.unionByName(together).groupBy(F.col("g").alias(by)).agg(F.count("*").alias("n"), F.avg("out").alias("false_positive_rate"))
 
 
 def iqr_outliers(rows: DataFrame, by: list[str], value: str, factor: float = 1.8) -> DataFrame:
