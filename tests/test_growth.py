@@ -5,7 +5,14 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from idloom.operators import forensics
+from idloom.operators import forensics, resolve
+from idloom.plans import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def plain_leave_one_out(rows: list[tuple], margin: float) -> dict:
@@ -46,3 +53,14 @@ def test_leave_one_out_makes_no_pairs(spark):
     """60,000 rows a group are 3.6 thousand million pairs."""
     rows = spark.range(60_000).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") * 7919 % 10_007).cast("double").alias("v"))
     assert forensics.leave_one_out(rows, "g", "k", "v", 1.5).first().n == 60_000
+
+
+def test_equal_names_meet_in_many_sorted_parts(spark):
+    df = tables.QUERIES["join_name_pairs"](spark, SF)
+    plan = plan_of(df)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_equal_pairs_of_odd_rows(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("a", 4, None), ("a", None, "x"), (None, 5, "x"), (None, 6, "x"), ("b", 1, "x"), ("b", 2, "y")], "case_id string, ordinal int, value string")
+    assert sorted(map(tuple, resolve.equal_pairs(rows).collect())) == [("a", 1, 2), ("a", 1, 2)]
