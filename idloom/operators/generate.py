@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.functions.text import verhoeff_digit
+from idloom.functions.text import let, verhoeff_digit
 
 MALE = "AARAV VIVAAN ADITYA VIHAAN ARJUN SAI REYANSH KRISHNA ISHAAN ROHAN".split()
 FEMALE = "SAANVI AADYA KIARA DIYA PIHU PRISHA ANANYA FATIMA ANIKA MEERA".split()
@@ -75,15 +75,20 @@ def attacks(documents: DataFrame, per_doc: int = 1, severity: str = "mixed", see
 
 def perturbed(value: Column, *key) -> Column:
     """Up to two digits, or letters where there are none, replaced by others of their kind; X is added where there are neither."""
-    chars = F.split(value, "")
-    is_digit, is_letter = lambda c: c.rlike("^[0-9]$"), lambda c: c.rlike("^[A-Za-z]$")
-    any_digit = F.exists(chars, is_digit)
-    place = F.filter(F.transform(chars, lambda c, i: F.when(F.when(any_digit, is_digit(c)).otherwise(is_letter(c)), i)), lambda i: i.isNotNull())
-    n = F.size(place)
-    a = F.get(place, draw(1 << 30, *key, 1).cast("int") % n)
-    b = F.get(place, draw(1 << 30, *key, 2).cast("int") % n)
-    new = F.transform(chars, lambda c, i: F.when((i == a) | (i == b), F.when(is_digit(c), draw(10, *key, i).cast("string")).otherwise(letter(*key, i))).otherwise(c))
-    return F.when(n == 0, F.concat(value, F.lit("X"))).otherwise(F.array_join(new, ""))
+    is_digit, is_letter = lambda c: c.between("0", "9"), lambda c: c.between("A", "Z") | c.between("a", "z")
+    places = lambda chars, kind: F.filter(F.transform(chars, lambda c, i: F.when(kind(c), i)), lambda i: i.isNotNull())
+    one = lambda place, tag: F.get(place, draw(1 << 30, *key, tag).cast("int") % F.size(place))
+    other = lambda c, i: F.when(is_digit(c), draw(10, *key, i).cast("string")).otherwise(letter(*key, i))
+
+    def replaced(chars: Column, place: Column) -> Column:
+        new = lambda at: F.transform(chars, lambda c, i: F.when((i == at["a"]) | (i == at["b"]), other(c, i)).otherwise(c))
+        return F.when(F.size(place) == 0, F.concat(value, F.lit("X"))).otherwise(let(F.struct(one(place, 1).alias("a"), one(place, 2).alias("b")), lambda at: F.array_join(new(at), "")))
+
+    def split(chars: Column) -> Column:
+        digits_or_letters = lambda digits: F.when(F.size(digits) > 0, digits).otherwise(places(chars, is_letter))
+        return let(let(places(chars, is_digit), digits_or_letters), lambda place: replaced(chars, place))
+
+    return let(F.split(value, ""), split)
 
 
 def yolo_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from idloom.functions import similarity as S
 from idloom.functions import text as T
 from idloom.operators import decide, evaluate, extraction, generate, images, learn, ledger, pictures, resolve
+from idloom.operators.parts import spread
 from idloom.plans.scalars import ADDRESS, DAY, PAN, SCALARS
 from idloom.plans.tables import fixture, read, with_fixtures
 from idloom.streaming import cases
@@ -30,8 +31,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def of_customers(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
-    """Columns derived from the key `id` of every customer."""
-    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    """Columns derived from the key `id` of every customer, in many parts."""
+    keys = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
     return spark.sql("select id, " + columns.replace("{", "{{").replace("}", "}}") + " from {keys}", keys=keys)
 
 

@@ -5,8 +5,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from idloom.operators import forensics, resolve
-from idloom.plans import tables
+from idloom.operators import forensics, generate, resolve
+from idloom.plans import records, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,26 @@ def test_equal_names_meet_in_many_sorted_parts(spark):
 def test_equal_pairs_of_odd_rows(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("a", 4, None), ("a", None, "x"), (None, 5, "x"), (None, 6, "x"), ("b", 1, "x"), ("b", 2, "y")], "case_id string, ordinal int, value string")
     assert sorted(map(tuple, resolve.equal_pairs(rows).collect())) == [("a", 1, 2), ("a", 1, 2)]
+
+
+def written_out(value, *key):
+    """What `generate.perturbed` says, with its places found anew for each character."""
+    chars = F.split(value, "")
+    is_digit, is_letter = lambda c: c.rlike("^[0-9]$"), lambda c: c.rlike("^[A-Za-z]$")
+    place = F.filter(F.transform(chars, lambda c, i: F.when(F.when(F.exists(chars, is_digit), is_digit(c)).otherwise(is_letter(c)), i)), lambda i: i.isNotNull())
+    n = F.size(place)
+    a, b = (F.get(place, generate.draw(1 << 30, *key, k).cast("int") % n) for k in (1, 2))
+    new = F.transform(chars, lambda c, i: F.when((i == a) | (i == b), F.when(is_digit(c), generate.draw(10, *key, i).cast("string")).otherwise(generate.letter(*key, i))).otherwise(c))
+    return F.when(n == 0, F.concat(value, F.lit("X"))).otherwise(F.array_join(new, ""))
+
+
+def test_perturbed_values_are_those_of_the_formula(spark):
+    odd = ["", "A", "7", "--", "a\nb", "١٢", "éß", "😀1", "ÀB", " 12 ", "[`@{/:", None, "ABCPD1234E", "x" * 300]
+    rows = spark.createDataFrame([(k, v, w) for k, v in enumerate(odd) for w in ("s", None, "ABCPD1234E")], "k int, v string, w string")
+    for k, a, b in rows.select("k", generate.perturbed(F.col("v"), F.col("w"), F.col("k")), written_out(F.col("v"), F.col("w"), F.col("k"))).collect():
+        assert a == b, odd[k]
+
+
+def test_perturbing_splits_a_value_once_and_in_many_parts(spark):
+    df = records.QUERIES["fn_perturb"](spark, SF)
+    assert plan_of(df).count("split(") == 1 and df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
