@@ -1,6 +1,7 @@
 """Queries that grew faster than their tables: results against plain versions, and what their plans may not hold."""
 
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,3 +111,34 @@ def test_dense_search_of_few_vectors(spark):
     asked = lambda df: df.withColumnRenamed("id", "query_id")
     assert [(h.query_id, h.id, round(h.score, 9)) for h in retrieve.dense_search(one, asked(one), 3).collect()] == [(5, 5, 1.0)]
     assert retrieve.dense_search(one, asked(none), 3).count() == retrieve.dense_search(none, asked(one), 3).count() == 0
+
+
+PACKETS = [
+    ("a", 0, {"name": "Asha Devi", "date_of_birth": "15/08/1990", "gender": "f"}),
+    ("a", 1, {"name": "Rahul Kumar", "surname": "Kumar", "date_of_birth": "1990-08-15", "gender": "F"}),
+    ("a", 2, {"name": "Rahul Kumar", "date_of_birth": "16/08/1990", "gender": ""}),
+    ("b", 0, {"name": "X", "surname": "Completely else", "date_of_birth": "1/1/1990"}),
+    ("c", 0, {"gender": "M"}),
+    ("c", 1, {"gender": "F", "date_of_birth": ""}),
+    ("d", 0, {"other": "x"}),
+    ("d", 1, None),
+    (None, 0, {"date_of_birth": "1/1/1990", "gender": "M"}),
+    (None, 1, {"date_of_birth": "2/1/1990", "gender": "F"}),
+]
+
+
+def test_counted_contradictions_are_those_listed(spark):
+    packet = spark.createDataFrame([(*p[:2], "pan", p[2]) for p in PACKETS], "case_id string, ordinal int, doc_type string, fields map<string,string>")
+    listed = [(r.case_id, r.type, r.severity) for r in resolve.contradictions(packet).collect()]
+    assert {(r.type, r.severity): r.n for r in resolve.severities(packet).collect()} == Counter(r[1:] for r in listed)
+    assert {t for _, t, _ in listed} == {"name_mismatch", "dob_mismatch", "gender_mismatch"}
+    got = {r.case_id: r for r in resolve.consistency(packet).collect()}
+    assert {c: r.issues for c, r in got.items()} == {"a": 0, "b": 0, "c": 0, "d": 0, None: 0} | Counter(r[0] for r in listed)
+    assert got["a"].recommendation == "REJECT" and got["c"].recommendation == "REVIEW" and got["b"].consistency_score == 1.0 and got["c"].consistency_score == 0.5
+
+
+@pytest.mark.parametrize("name", ["dec_severity", "agg_gender_distinct", "agg_consistency"])
+def test_documents_of_a_case_are_counted_without_a_join(spark, name):
+    """By case in many parts, each of which sums up what it holds: a join would sort both sides in a task."""
+    plan = plan_of(tables.QUERIES[name](spark, SF))
+    assert "Join" not in plan and "hashpartitioning(case_id" in plan and "REPARTITION_BY_NUM" in plan
