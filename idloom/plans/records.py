@@ -102,8 +102,7 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def join_addr_pairs(spark, sf_dir):
-    parsed = _addresses(spark, sf_dir).select("case_id", "ordinal", T.address_parts(F.col("value")).alias("p"))
-    return resolve.pairs(parsed).select("case_id", F.col("a.ordinal").alias("i"), F.col("b.ordinal").alias("j"), F.round(S.address_score(F.col("a.p"), F.col("b.p")), 6).alias("score"))
+    return resolve.pairs(resolve.parsed_addresses(_addresses(spark, sf_dir))).select("case_id", F.col("a.ordinal").alias("i"), F.col("b.ordinal").alias("j"), F.round(S.address_score(F.col("a.p"), F.col("b.p")), 6).alias("score"))
 
 
 QUERIES["fn_addr_compare"] = join_addr_pairs

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from idloom.functions import text as T
 from idloom.operators import forensics, generate, resolve, retrieve
 from idloom.plans import records, tables
 
@@ -163,3 +164,31 @@ def test_sparse_search_shuffles_no_words_of_documents(spark, name):
     """Texts stay where they are read: only hits are shuffled, and rerank's texts are met by broadcast hits."""
     plan = plan_of(tables.QUERIES[name](spark, SF))
     assert "Generate explode" not in "\n".join(x for x in plan.split("\n") if "word" in x) and ("SortMergeJoin" not in plan or name == "ret_hybrid")
+
+
+def written_out_parts(c):
+    """What `text.address_parts` says, each part found by itself."""
+    s = T.stripped(F.regexp_replace(c, r"\s+", " "))
+    low, padded, pin = F.lower(s), F.concat(F.lit(" "), F.upper(s), F.lit(" ")), T.pincode(s)
+    state = F.coalesce(*[F.when(low.contains(full.lower()) | padded.contains(f" {code} "), full) for code, full in T.STATES.items()])
+    parts = F.transform(F.split(s, ","), lambda p: F.trim(p))
+    last = F.element_at(parts, -1)
+    city = F.when(F.size(parts) >= 3, F.when(last == pin, F.element_at(parts, -2)).otherwise(last))
+    table = F.create_map(*[F.lit(x) for pair in T.SHORT.items() for x in pair])
+    words = F.transform(F.split(low, " "), lambda w: F.coalesce(F.try_element_at(table, F.regexp_replace(w, "[^a-z]", "")), w))
+    there = F.coalesce(c, F.lit("")) != ""
+    return [F.when(there, x) for x in (F.array_join(words, " "), pin, state, city)]
+
+
+def test_addresses_are_taken_apart_as_the_formula_says(spark):
+    odd = [None, "", " ", ",", ",,", "a,b,", "1 MG Rd,  Pune, MH, 411001", "x, y, 012345", "x, y, 560001, 560001", "Nr. stn\tOpp mall", "goa", "a DL b", "É rd, İ, Ω", "h.no 5, po, KA, "]
+    rows = spark.createDataFrame([(a,) for a in odd], "a string")
+    for got, *want in rows.select(T.address_parts(F.col("a")), *written_out_parts(F.col("a"))).collect():
+        assert list(got) == want
+
+
+@pytest.mark.parametrize("name", ["fn_addr_norm", "join_addr_pairs", "fn_addr_compare", "agg_addr_mean"])
+def test_addresses_are_taken_apart_once_and_in_many_parts(spark, name):
+    df = {**records.QUERIES, **tables.QUERIES}[name](spark, SF)
+    # Once for each side of a pair, of which Spark runs one.
+    assert plan_of(df).count("array_join") <= 2 and plan_of(df).count("REPARTITION_BY_NUM") >= 1
