@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from idloom.functions import similarity as S
 from idloom.functions import text as T
+from idloom.operators.parts import spread
 
 NON_TEXT = ("photo", "signature", "emblem", "goi_symbol", "logo")
 CRITICAL = ("aadhaar_number", "pan_number", "name", "date_of_birth")
@@ -160,16 +161,23 @@ def route_documents(detections: DataFrame, by: str = "doc_id", penalty: float =
     Input: (by, rotation_order, detector, field, conf).  A detector's score is twice its coverage plus the confidence of the
     expected fields less a share of that of the other type's; name and date of birth, which both have, count on both sides.
     """
-    top = detections.groupBy(by, "rotation_order", "detector", T.normalise_key(F.col("field")).alias("field")).agg(F.max("conf").alias("conf"))
-    score = {}
-    for kind, other in (("pan", "aadhaar"), ("aadhaar", "pan")):
-        mine = F.col("field").isin(*EXPECTED[kind])
-        covered = F.sum(F.when(mine & (F.col("conf") >= least), 1).otherwise(0)) / len(EXPECTED[kind])
-        wrong = F.sum(F.when(F.col("field").isin(*EXPECTED[other]) & (F.col("conf") >= least), F.col("conf")).otherwise(0.0))
-        score[kind] = 2.0 * covered + F.sum(F.when(mine, F.col("conf")).otherwise(0.0)) - penalty * wrong
-    each = top.groupBy(by, "rotation_order", "detector").agg(score["pan"].alias("as_pan"), score["aadhaar"].alias("as_aadhaar"))
-    at = lambda d, c: F.coalesce(F.max(F.when(F.col("detector") == d, F.col(c))), F.lit(0.0))
-    turned = each.groupBy(by, "rotation_order").agg(at("pan", "as_pan").alias("pan"), at("aadhaar", "as_aadhaar").alias("aadhaar"))
+    key, conf = T.normalise_key(F.col("field")), F.col("conf")
+    kinds, fields = list(EXPECTED), sorted(set().union(*EXPECTED.values()))
+    place = F.array_position(F.array(*map(F.lit, fields)), key).cast("int")
+    coded = spread(detections.select(by, "rotation_order", F.array_position(F.array(*map(F.lit, kinds)), F.col("detector")).cast("int").alias("d"), place.alias("f"), "conf"), by)
+    # The surest of each field by each detector, side by side: one sum of fixed width for each document and rotation.
+    tops = [F.max(F.when((F.col("d") == d) & (F.col("f") == f), conf)).alias(f"c{d}_{f}") for d in range(1, len(kinds) + 1) for f in range(1, len(fields) + 1)]
+    seen = coded.groupBy(by, "rotation_order").agg(*tops)
+
+    def score(kind: str, other: str) -> Column:
+        top = {f: F.col(f"c{kinds.index(kind) + 1}_{fields.index(f) + 1}") for f in fields}
+        zero = F.lit(0.0)
+        covered = sum((F.when(top[f] >= least, 1).otherwise(0) for f in EXPECTED[kind]), F.lit(0)) / len(EXPECTED[kind])
+        right = sum((F.coalesce(top[f], zero) for f in EXPECTED[kind]), zero)
+        wrong = sum((F.when(top[f] >= least, top[f]).otherwise(zero) for f in EXPECTED[other]), zero)
+        return 2.0 * covered + right - penalty * wrong
+
+    turned = seen.select(by, "rotation_order", score("pan", "aadhaar").alias("pan"), score("aadhaar", "pan").alias("aadhaar"))
     chosen = turned.groupBy(by).agg(F.max_by(F.struct("rotation_order", "pan", "aadhaar"), F.struct(F.round(F.greatest("pan", "aadhaar"), 9), -F.col("rotation_order"))).alias("r")).select(by, "r.*")
     sure = (F.greatest("pan", "aadhaar") >= best) & (F.abs(F.col("pan") - F.col("aadhaar")) >= margin)
     return chosen.select(by, "rotation_order", F.col("pan").alias("score_pan"), F.col("aadhaar").alias("score_aadhaar"), F.when(sure, F.when(F.col("pan") >= F.col("aadhaar"), "pan").otherwise("aadhaar")).otherwise("unknown").alias("doc_type"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from idloom.functions import text as T
-from idloom.operators import forensics, generate, resolve, retrieve
+from idloom.operators import extraction, forensics, generate, parts, resolve, retrieve
 from idloom.plans import records, tables
 
 SF = "/root/testdata/sf0.001"
@@ -192,3 +192,30 @@ def test_addresses_are_taken_apart_once_and_in_many_parts(spark, name):
     df = {**records.QUERIES, **tables.QUERIES}[name](spark, SF)
     # Once for each side of a pair, of which Spark runs one.
     assert plan_of(df).count("array_join") <= 2 and plan_of(df).count("REPARTITION_BY_NUM") >= 1
+
+
+def test_documents_are_routed_as_their_scores_say(spark):
+    fields = ["pan_number", "name", "father_name", "dob", "aadhar_number", "gender", "address", "Name ", "odd", None]
+    rng = np.random.default_rng(9)
+    rows = [(int(d), int(r), ["pan", "aadhaar", "other"][int(k)], fields[int(f)], None if c == 0 else float(c) / 8) for d, r, k, f, c in zip(rng.integers(0, 30, 600), rng.integers(0, 4, 600), rng.integers(0, 3, 600), rng.integers(0, 10, 600), rng.integers(0, 9, 600))] + [(99, 2, "other", "odd", 0.5)]
+    top = {}
+    for d, r, k, f, c in rows:
+        key = {"dob": "date_of_birth", "aadhar_number": "aadhaar_number"}.get(f, (f or "").strip().lower())
+        top.setdefault((d, r), {}).setdefault((k, key), []).append(c or 0.0)
+    want = {}
+    for (d, r), own in top.items():
+        both = []
+        for kind, other in (("pan", "aadhaar"), ("aadhaar", "pan")):
+            best = {f: max(c) for (k, f), c in own.items() if k == kind}
+            mine, theirs = ([best.get(f, 0.0) for f in extraction.EXPECTED[x]] for x in (kind, other))
+            both.append(2 * sum(c >= 0.25 for c in mine) / len(mine) + sum(mine) - 0.35 * sum(c for c in theirs if c >= 0.25))
+        want[d] = max(want.get(d, (-9.0,)), (round(max(both), 9), -r, *(round(x, 9) for x in both)))
+    df = extraction.route_documents(spark.createDataFrame(rows, "doc_id int, rotation_order int, detector string, field string, conf double"))
+    assert plan_of(df).count("Exchange") == 1
+    assert {h.doc_id: (h.rotation_order, round(h.score_pan, 9), round(h.score_aadhaar, 9)) for h in df.collect()} == {d: (-r, p, a) for d, (_, r, p, a) in want.items()}
+
+
+def test_parts_grow_with_the_table(spark):
+    assert parts.many(spark.range(10)) == parts.least_parts(spark.range(10))
+    assert parts.many(spark.range(10**8)) == 8 * 10**8 // parts.PART
+    assert parts.many(spark.range(10**15)) == 40 * parts.least_parts(spark.range(10))
